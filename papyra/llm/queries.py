@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from papyra.llm.lm import lm_scores
+from papyra.llm.mixing import mix_sources
 from papyra.llm.pieces import piece_digests
 from papyra.llm.quality import quality_scores
 from papyra.llm.substrings import substring_dedup
@@ -32,6 +33,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents")).drop("text")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_read(spark, sf_dir, "documents"), piece_model())
 
