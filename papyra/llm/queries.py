@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from papyra.llm.lm import lm_scores
 from papyra.llm.mixing import mix_sources
+from papyra.llm.nearcopies import near_copies
 from papyra.llm.pieces import piece_digests
 from papyra.llm.quality import quality_scores
 from papyra.llm.substrings import substring_dedup
@@ -45,6 +46,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_read(spark, sf_dir, "documents")).drop("h")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_read(spark, sf_dir, "documents"))
 
