@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from papyra.llm.graph_search import nearest
 from papyra.llm.lm import lm_scores
 from papyra.llm.mixing import mix_sources
 from papyra.llm.nearcopies import near_copies
@@ -14,6 +16,7 @@ from papyra.llm.quality import quality_scores
 from papyra.llm.subspaces import vector_copies
 from papyra.llm.substrings import substring_dedup
 from papyra.llm.suffixes import suffix_dedup
+from papyra.llm.url_lists import LIST, filter_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +38,13 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_copies(_read(spark, sf_dir, "embeddings"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no fetch day; one is derived from page_id, over a year."""
+    captures = _read(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(page_id % 366 as int))").alias("fetched_on"))
+    events = spark.createDataFrame(list(LIST), "scope string, value string, day string, event string")
+    return filter_urls(captures, events)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents")).drop("text")
 
@@ -51,6 +61,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_read(spark, sf_dir, "documents")).drop("h")
 
@@ -89,5 +104,21 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
 
 
+def _op3_sql() -> str:
+    events = ", ".join(f"('{s}', '{v}', DATE '{d}', '{e}')" for s, v, d, e in LIST)
+    return rf"""
+WITH e(scope, value, since, event) AS (VALUES {events}),
+i AS (SELECT *, lead(since) OVER (PARTITION BY scope, value ORDER BY since, event) AS until FROM e),
+a AS (SELECT scope, value, since, until FROM i WHERE event = 'add' AND (until IS NULL OR until > since)),
+p AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched_on,
+      rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS host,
+      lower(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')) AS path FROM pages),
+h AS (SELECT p.page_id, count(*) AS n, min(a.scope || ':' || a.value) AS entry FROM p JOIN a ON p.host <> '' AND p.fetched_on >= a.since AND (a.until IS NULL OR p.fetched_on < a.until)
+      AND CASE a.scope WHEN 'host' THEN p.host = a.value WHEN 'domain' THEN p.host = a.value OR p.host LIKE '%.' || a.value
+          WHEN 'url' THEN p.host || p.path = a.value ELSE p.host || p.path = a.value OR p.host || p.path LIKE a.value || '/%' END GROUP BY p.page_id)
+SELECT p.page_id, p.url, p.fetched_on, h.n IS NOT NULL AS blocked, CAST(coalesce(h.n, 0) AS BIGINT) AS n_entries, h.entry FROM p LEFT JOIN h USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op3_url_filter": _op3_sql()}
