@@ -148,9 +148,10 @@ def remainder(modulus: int, key: str = "doc_id"):
 def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteConvolution:
     """Fits on a bounded sample of the labelled rows outside the held-out fold."""
     known = labels.where(F.col("quality").isNotNull() & (remainder(5) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    order = F.xxhash64("doc_id", "text")
-    rows = texts.join(known, "doc_id").orderBy(order, "doc_id").limit(sample_rows).select("text", "quality").collect()
+    # The ids are drawn from the labels alone, so only the texts of at most sample_rows ids are ever looked at.
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "doc_id")
+    rows = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_rows).select("text", "quality").collect()
     return ByteConvolution().fit([r["text"] for r in rows], [int(r["quality"]) for r in rows])
 
 
