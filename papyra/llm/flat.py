@@ -48,7 +48,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The name of what is named a followed (or overlapped) by what is named b."""
-    return mix(a * ODD + b)
+    x = a * ODD
+    x += b
+    x ^= x >> U(32)
+    x *= BASE
+    x ^= x >> U(29)
+    return x
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -35,35 +35,44 @@ from papyra.llm.slices import Sliced, groups, once, shared, told
 LENGTH = 200
 Q = 101
 SPAN = LENGTH - Q + 1
+BLOCK = 1 << 15
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 class _Suffixes:
     def __init__(self, table: pa.Table):
         self.data, self.off = texts_of(table.column("text"))
-        n = len(self.data)
-        size = np.diff(self.off)
-        m = max(0, n - LENGTH + 1)
-        ok = np.repeat(size, size)[:m] - (np.arange(m) - np.repeat(self.off[:-1], size)[:m]) >= LENGTH
+        n, size = len(self.data), np.diff(self.off)
         self.lo = self.hi = self.at = np.zeros(0, np.int64)
         self.grams = np.zeros(0, np.uint64)
-        if not ok.any():
+        long = size >= LENGTH
+        if not long.any():
             return
-        names = mix(np.ndarray((n,), np.uint64, self.data.tobytes() + bytes(8), strides=(1,)).copy())
-        have = 8
-        for length in (16, 32, 64, Q):
-            by = length - have
-            names = pair(names[: len(names) - by], names[by:])
-            have = length
-        self.grams = names  # the bucket of the Q bytes from each position
-        least = names >> U(32) << U(32) | np.arange(len(names), dtype=np.uint64)
-        have = 1
-        for width in (2, 4, 8, 16, 32, 64, SPAN):
-            by = width - have
-            least = np.minimum(least[: len(least) - by], least[by:])
-            have = width
-        anchor = (least[:m] & U(0xFFFFFFFF)).astype(np.int64)
-        start = np.flatnonzero(ok)
+        m = n - LENGTH + 1
+        raw = self.data.tobytes() + bytes(8)
+        self.grams = np.empty(n - Q + 1, np.uint64)  # the bucket of the Q bytes from each position
+        anchor = np.empty(m, np.int64)
+        for a in range(0, m, BLOCK):  # blocks that fit the processor's cache
+            b = min(a + BLOCK, m)
+            names = mix(np.ndarray((b - a + LENGTH - 8,), np.uint64, raw, offset=a, strides=(1,)).copy())
+            have = 8
+            for length in (16, 32, 64, Q):
+                by = length - have
+                names = pair(names[: len(names) - by], names[by:])
+                have = length
+            self.grams[a : b + SPAN - 1] = names
+            least = names >> U(32) << U(32)
+            least |= np.arange(a, a + len(names), dtype=np.uint64)
+            have = 1
+            for width in (2, 4, 8, 16, 32, 64, SPAN):
+                by = width - have
+                least = np.minimum(least[: len(least) - by], least[by:])
+                have = width
+            anchor[a:b] = least & U(0xFFFFFFFF)
+        edge = np.zeros(m + 1, np.int8)
+        edge[self.off[:-1][long]] = 1
+        edge[self.off[1:][long] - LENGTH + 1] -= 1
+        start = np.flatnonzero(np.cumsum(edge[:m], dtype=np.int8))
         anchor = anchor[start]
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(start) != 1)])
         first = np.flatnonzero(new)
