@@ -35,7 +35,7 @@ class Sliced:
         size = (size["b"] or 0) + 64 * size["n"]
         self.slices = max(1, math.ceil(size / SLICE_BYTES))
         self.buckets = max(8, math.ceil(size / BUCKET_BYTES))
-        self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.slices)))
+        self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.slices))).repartition(self.buckets, "slice")
 
     def ask(self, f: Callable, answers: DataFrame | None = None) -> DataFrame:
         """f(table, answers table or None, buckets) yields (kind, names, more or None) for its slice."""
