@@ -216,3 +216,11 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, counts: bool = False)
     labelled = signed.select("doc_id", "h", "node").join(groups.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("first"))
     return labelled.join(least, "label", "left").select("doc_id", "h", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.col("label").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")))).alias("kept"))
+
+
+def without_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One document of each class, the least doc_id, with all columns."""
+    kept = near_copies(docs, similar).where("kept").select(F.col("h").alias("_h"), F.col("doc_id").alias("_d")).distinct()
+    keyed = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).repartition("_h")
+    both = keyed.join(kept, "_h").where(F.col("doc_id").eqNullSafe(F.col("_d")))
+    return both.dropDuplicates(["_h", "doc_id"]).select(*docs.columns)

@@ -155,15 +155,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     return ByteConvolution().fit([r["text"] for r in rows], [int(r["quality"]) for r in rows])
 
 
-def score_quality(docs: DataFrame, model: ByteConvolution) -> DataFrame:
-    """The rows of docs with a column score."""
-    fields = docs.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name != "score") + ", score double"
-    keep = [f.name for f in fields if f.name != "score"]
+def score_quality(docs: DataFrame, model: ByteConvolution, name: str = "score") -> DataFrame:
+    """The rows of docs with their score in a column of that name, in place of any such column."""
+    fields = [f for f in docs.schema.fields if f.name != name]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double"
+    keep = [f.name for f in fields]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(model.scores(b.column(b.schema.get_field_index("text"))))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(model.scores(b.column(b.schema.get_field_index("text"))))], names=[*keep, name])
 
     return docs.select(*keep).mapInArrow(run, schema)
 
@@ -171,3 +171,9 @@ def score_quality(docs: DataFrame, model: ByteConvolution) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score_quality(docs.select("doc_id", "text"), train_quality(docs, labels))
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score reaches the threshold, with all columns."""
+    scored = score_quality(docs, train_quality(docs, labels), "_score")
+    return scored.where(F.col("_score") >= threshold).select(*docs.columns)

@@ -15,7 +15,7 @@ from papyra.llm.pieces import piece_digests
 from papyra.llm.quality import quality_scores
 from papyra.llm.subspaces import vector_copies
 from papyra.llm.substrings import substring_dedup
-from papyra.llm.suffixes import suffix_dedup
+from papyra.llm.suffixes import suffix_digests
 from papyra.llm.url_lists import LIST, filter_urls
 
 
@@ -46,7 +46,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_read(spark, sf_dir, "documents")).drop("text")
+    return suffix_digests(_read(spark, sf_dir, "documents"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

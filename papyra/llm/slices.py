@@ -23,19 +23,22 @@ SLICE_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 ASKS = "bucket int, slice long, kind int, names binary, more binary"
 ANSWERS = "slice long, kind int, names binary, more binary"
-_asks = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), ("names", pa.binary()), ("more", pa.binary())])
+ASKS_ARROW = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), ("names", pa.binary()), ("more", pa.binary())])
 _answers = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("names", pa.binary()), ("more", pa.binary())])
 
 
 class Sliced:
-    """The documents with a column `slice`, and how many slices and buckets there are."""
+    """The documents with a column `slice`, and how many slices and buckets there are.
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text"):
+    Of the other columns those named in carry stay.
+    """
+
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()):
         size = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("b"), F.count(F.lit(1)).alias("n")).first()
         size = (size["b"] or 0) + 64 * size["n"]
         self.slices = max(1, math.ceil(size / SLICE_BYTES))
         self.buckets = max(8, math.ceil(size / BUCKET_BYTES))
-        self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.slices))).repartition(self.buckets, "slice")
+        self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.slices))).repartition(self.buckets, "slice")
 
     def ask(self, f: Callable, answers: DataFrame | None = None) -> DataFrame:
         """f(table, answers table or None, buckets) yields (kind, names, more or None) for its slice."""
@@ -45,7 +48,7 @@ class Sliced:
             out = []
             for kind, names, more in f(table, said):
                 out += packed(key[0].as_py(), kind, names, more, n)
-            return pa.Table.from_pylist(out, schema=_asks)
+            return pa.Table.from_pylist(out, schema=ASKS_ARROW)
 
         return self._by_slice(question, answers, ASKS)
 

@@ -17,8 +17,8 @@ one by one, and only runs that stay alone, and one of each that don't, list the
 
 Defined cases: null text is empty; fewer than 200 bytes lose nothing; repeated
 rows and repeats in one document count as other places; other columns are
-ignored. Bytes are removed, so the remaining text may hold broken characters;
-`text` has them replaced.
+ignored. Bytes are removed, so what remains may hold broken characters: the
+digest is of the bytes, a text has U+FFFD in their place.
 """
 
 from __future__ import annotations
@@ -29,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from papyra.llm.flat import U, covered, lengths_of, member, mix, pair, runs, texts_of
+from papyra.llm.flat import U, covered, lengths_of, member, mix, pair, texts_of
 from papyra.llm.slices import Sliced, groups, once, shared, told
 
 LENGTH = 200
 Q = 101
 SPAN = LENGTH - Q + 1
 BLOCK = 1 << 15
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 class _Suffixes:
@@ -164,31 +164,66 @@ def _ask_windows(table, said):
         yield 2, once(x.windows(x.starts(np.flatnonzero(listed)))), None
 
 
-def _cut(table, said):
-    x = _Suffixes(table)
+def _gone(x: _Suffixes, said) -> np.ndarray:
+    """Mask of the bytes to remove."""
     repeated, _, alone = _runs_told(x, said)
-    gone = np.zeros(len(x.data), bool)
-    if repeated.any() or alone.any():
-        one = x.starts(np.flatnonzero(alone))
-        one = one[member(x.windows(one) | U(1), told(said, 2)[0])]
-        d = np.zeros(len(x.data) + 1, np.int64)
-        np.add.at(d, x.lo[repeated], 1)
-        np.add.at(d, x.hi[repeated] + LENGTH, -1)
-        gone = (np.cumsum(d[:-1]) > 0) | covered(len(x.data), one, LENGTH)
-    removed = lengths_of(gone, x.off)
-    rows = []
-    for i, doc in enumerate(table.column("doc_id").to_pylist()):
-        a, b = x.off[i], x.off[i + 1]
-        kept = (x.data[a:b][~gone[a:b]] if removed[i] else x.data[a:b]).tobytes()
-        rows.append((doc, int(b - a), int(removed[i]), len(runs(gone[a:b])[0]) if removed[i] else 0, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-    kinds = (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()))
-    return pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate(kinds)})
-
-
-def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining text."""
-    c = Sliced(docs)
+    if not repeated.any() and not alone.any():
+        return np.zeros(len(x.data), bool)
+    one = x.starts(np.flatnonzero(alone))
+    one = one[member(x.windows(one) | U(1), told(said, 2)[0])]
+    d = np.zeros(len(x.data) + 1, np.int64)
+    np.add.at(d, x.lo[repeated], 1)
+    np.add.at(d, x.hi[repeated] + LENGTH, -1)
+    return (np.cumsum(d[:-1]) > 0) | covered(len(x.data), one, LENGTH)
+
+
+def _kept(x: _Suffixes, gone: np.ndarray, i: int) -> bytes:
+    a, b = x.off[i], x.off[i + 1]
+    return x.data[a:b][~gone[a:b]].tobytes()
+
+
+def _digest(table, said):
+    x = _Suffixes(table)
+    gone = _gone(x, said)
+    starts = gone.copy()
+    starts[1:] &= ~gone[:-1]
+    edge = x.off[(x.off > 0) & (x.off < len(gone))]
+    starts[edge] = gone[edge]
+    return pa.table({
+        "doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(x.off), pa.int64()), "n_removed": pa.array(lengths_of(gone, x.off), pa.int64()),
+        "n_spans": pa.array(lengths_of(starts, x.off), pa.int64()), "kept_sha256": pa.array([hashlib.sha256(_kept(x, gone, i)).hexdigest() for i in range(table.num_rows)], pa.string()),
+    })
+
+
+def _texts(names: list[str]):
+    def run(table, said):
+        x = _Suffixes(table)
+        gone = _gone(x, said)
+        cut = lengths_of(gone, x.off) > 0
+        # A null text stays null.
+        text = [_kept(x, gone, i).decode("utf-8", "replace") if c else t for i, (c, t) in enumerate(zip(cut, table.column("text").to_pylist()))]
+        columns = {c: table.column(c) for c in names} | {"text": pa.array(text, pa.string())}
+        if "n_chars" in names:
+            columns["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(text, table.column("n_chars").to_pylist())], table.schema.field("n_chars").type)
+        return pa.table({c: columns[c] for c in names})
+
+    return run
+
+
+def _answered(c: Sliced) -> DataFrame:
     said = c.answer(c.ask(_ask_buckets), _buckets)
     said = said.union(c.answer(c.ask(_ask_runs, said), _repeated_runs))
-    said = said.union(c.answer(c.ask(_ask_windows, said), shared))
-    return c.finish(_cut, RESULT, said)
+    return said.union(c.answer(c.ask(_ask_windows, said), shared))
+
+
+def suffix_digests(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    c = Sliced(docs)
+    return c.finish(_digest, RESULT, _answered(c))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated bytes removed from their texts; n_chars, where there is one, follows."""
+    c = Sliced(docs, carry=tuple(x for x in docs.columns if x not in ("doc_id", "text")))
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"doc_id": "bigint", "text": "string"}
+    return c.finish(_texts(docs.columns), ", ".join(f"`{x}` {types[x]}" for x in docs.columns), _answered(c))
