@@ -2,8 +2,8 @@
 
 Tokens are a document's words with A-Z lowered, then one end. Token counts are
 gathered from all training documents (see slices): every slice of the corpus
-asks for the counts of its own distinct words, so no word list is ever whole in
-one place. The model predicts the *class* of the next token from the class of the
+asks buckets of words for the counts of its own distinct words, so no word list
+is ever whole in one place. The model predicts the *class* of the next token from the class of the
 one before: the `VOCABULARY` commonest tokens are classes of their own, all
 others fall into `RARE` classes by their last bytes, inside which a token has
 probability (c + 1) / (N + V + 1) with the class's counts. Class pairs are counted
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.flat import U, mix, texts_of, word_names, words_of
-from papyra.llm.slices import Sliced, groups, told
+from papyra.llm.slices import ASKS, ASKS_ARROW, Sliced, groups, packed, told
 from papyra.plans.durable import checkpointed
 
 VOCABULARY, RARE, DIMS = 1024, 256, 32
@@ -71,16 +71,45 @@ class _Tokens:
         return c
 
 
-def _trains(table) -> np.ndarray:
-    return np.array(table.column("train").to_pylist(), bool)
+def _ask(table, said):
+    """Each distinct token of a slice."""
+    names = np.unique(_Tokens(table.column("text")).names)
+    yield 0, names, np.zeros_like(names)
 
 
-def _ask(table, said):
-    """Each distinct token with its training count here (0 if none) and its rare class."""
-    t = _Tokens(table.column("text"))
-    order, start, _ = groups(t.names)
-    train = _trains(table)[t.doc][order]
-    yield 0, t.names[order[start]], np.add.reduceat(train.astype(np.uint64), start) | t.rare[order[start]].astype(np.uint64) << CLASS_SHIFT
+def _local_counts(buckets: int):
+    """Counts of the tokens of a partition of training texts, with their rare classes, by bucket."""
+
+    def run(batches):
+        names, more = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for b in batches:
+            for a in range(0, b.num_rows, 512):
+                t = _Tokens(b.column(0).slice(a, 512))
+                order, start, _ = groups(t.names)
+                n = np.diff(np.append(start, len(order))).astype(np.uint64)
+                names, more = _added(np.concatenate([names, t.names[order[start]]]), np.concatenate([more, n | t.rare[order[start]].astype(np.uint64) << CLASS_SHIFT]))
+        yield from _packed_rows(names, more, buckets)
+
+    return run
+
+
+def _added(names, more):
+    order, start, _, total = _sums(names, more)
+    return names[order[start]], total | more[order[start]] & ~COUNT
+
+
+def _packed_rows(names, more, buckets):
+    rows = packed(-1, 0, names, more, buckets)
+    if rows:
+        yield from pa.Table.from_pylist(rows, schema=ASKS_ARROW).to_batches()
+
+
+def _global_counts(buckets: int):
+    def run(batches):
+        rows = [r for b in batches for r in b.to_pylist()]
+        yield from _packed_rows(*_added(*(np.frombuffer(b"".join(r[c] for r in rows), np.uint64) for c in ("names", "more"))), buckets)
+
+    return run
 
 
 def _sums(names, more):
@@ -89,23 +118,21 @@ def _sums(names, more):
 
 
 def _count(kind, names, who, more):
-    """Says the count over all slices of each token that has one."""
+    """Says the count of each token that has one to the slices that ask; the counts come as from slice -1."""
     order, _, group, total = _sums(names, more)
     total = total[group]
-    return order[total > 0], names[order][total > 0], total[total > 0]
+    asks = (total > 0) & (who[order] >= 0)
+    return order[asks], names[order][asks], total[asks]
 
 
 def _totals(batches):
     """Of the tokens of a bucket: how many and how often in each rare class, and the commonest."""
-    rows = [r for b in batches for r in b.to_pylist()]
-    if not rows:
-        return
-    names = np.frombuffer(b"".join(r["names"] for r in rows), np.uint64)
-    more = np.frombuffer(b"".join(r["more"] for r in rows), np.uint64)
-    order, start, _, total = _sums(names, more)
-    rare = (more[order[start]] >> CLASS_SHIFT).astype(np.int64)
-    v, n = np.bincount(rare, total > 0, RARE).astype(np.int64), np.bincount(rare, total.astype(float), RARE).astype(np.int64)
-    yield _summary(rows[0]["bucket"] % PARTS, v, n, names[order[start]], total, rare)
+    for b in batches:
+        for r in b.to_pylist():
+            names, more = np.frombuffer(r["names"], np.uint64), np.frombuffer(r["more"], np.uint64)
+            rare, total = (more >> CLASS_SHIFT).astype(np.int64), more & COUNT
+            v, n = np.bincount(rare, minlength=RARE), np.bincount(rare, total.astype(float), RARE).astype(np.int64)
+            yield _summary(r["bucket"] % PARTS, v, n, names, total, rare)
 
 
 def _summary(part, v, n, names, total, rare):
@@ -230,17 +257,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sliced = Sliced(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    sliced.docs = sliced.docs.withColumn("held_out", held).withColumn("train", ~held)
-    asked = checkpointed(sliced.ask(_ask))
+    sliced.docs = sliced.docs.withColumn("held_out", held)
+    n = sliced.buckets
+    training = docs.where(~held).select(F.coalesce("text", F.lit("")).alias("text"))
+    counts = checkpointed(training.mapInArrow(_local_counts(n), ASKS).repartition(n, "bucket").mapInArrow(_global_counts(n), ASKS))
     summary = "part int, v binary, n binary, names binary, total binary, rare binary"
-    merged = asked.repartition(sliced.buckets, "bucket").mapInArrow(_totals, summary).groupBy("part").applyInArrow(_merge, summary).toArrow()
-    v, n, names, total, rare = _merged(merged)
+    merged = counts.mapInArrow(_totals, summary).groupBy("part").applyInArrow(_merge, summary).toArrow()
+    rare_v, rare_n, names, total, rare = _merged(merged)
     best = np.lexsort((names, -total.astype(np.int64)))[:VOCABULARY]
     known = np.isin(names[best], END, invert=True)
-    train_tokens, distinct = int(n.sum()), int(v.sum())
+    train_tokens, distinct = int(rare_n.sum()), int(rare_v.sum())
     # What is left for the rare classes once the commonest tokens have classes of their own.
-    rare_v = v - np.bincount(rare[best], minlength=RARE)
-    rare_n = n - np.bincount(rare[best], total[best].astype(float), RARE).astype(np.int64)
+    rare_v = rare_v - np.bincount(rare[best], minlength=RARE)
+    rare_n = rare_n - np.bincount(rare[best], total[best].astype(float), RARE).astype(np.int64)
     if len(best) and known.all():  # the end is always a class; it may be rarer than the commonest words
         ends = docs.select((~held).cast("long").alias("t")).agg(F.sum("t")).first()[0] or 0
         rare_v[0] -= ends > 0
@@ -248,11 +277,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     vocabulary = np.sort(np.concatenate([names[best][known], END]))
     run, merge = _pairs(vocabulary)
     schema = "part int, cells binary, n binary"
-    cells = docs.where(~held).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema).groupBy("part").applyInArrow(merge, schema).toArrow()
+    cells = training.mapInArrow(run, schema).groupBy("part").applyInArrow(merge, schema).toArrow()
     k = len(vocabulary) + RARE
     pairs = np.zeros(k * k, np.int64)
     for c, m in zip(cells.column("cells").to_pylist(), cells.column("n").to_pylist()):
         pairs[np.frombuffer(c, np.int64)] += np.frombuffer(m, np.int64)
     model = ClassModel(vocabulary, pairs.reshape(k, k), rare_v, rare_n)
-    said = sliced.answer(asked, _count)
+    said = sliced.answer(sliced.ask(_ask).union(counts), _count)
     return sliced.finish(_score(model, float(np.log10(train_tokens + distinct + 1)), train_tokens), RESULT, said)
