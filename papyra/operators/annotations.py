@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from papyra import schemas as S
@@ -45,8 +47,6 @@ def annotate(request_rows: DataFrame, annotator: Callable[[str], list[dict]], ke
     """key, arrival, label, text, sentence_id, ambiguity, error: the annotator's answers; a failure is a row with its message."""
     import json
 
-    import pandas as pd
-
     def ask(requests: pd.Series) -> pd.Series:
         out = []
         for r in requests:
@@ -70,24 +70,36 @@ def validated(annotations: DataFrame, sentences: DataFrame, key: str = "doc_id")
     return a.select(key, "arrival", "label", "span", "sentence_id", "ambiguity").join(s, [key, "sentence_id"])
 
 
+def _find(sentence: str, span: str, taken: list[tuple[int, int]]) -> int:
+    at = sentence.find(span)
+    while at >= 0 and any(at < e and s < at + len(span) for s, e in taken):
+        at = sentence.find(span, at + 1)
+    return at
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _places(sentences: pd.Series, spans: pd.Series) -> pd.Series:
+    """Where each span of a sentence goes, -1 for nowhere; Spark has no search from a place on."""
+    out = []
+    for sentence, wanted in zip(sentences, spans):
+        taken, found = [], []
+        for span in wanted:
+            at = _find(sentence, span, taken)
+            found.append(at)
+            if at >= 0:
+                taken.append((at, at + len(span)))
+        out.append(found)
+    return pd.Series(out, dtype=object)
+
+
 def aligned(annotations: DataFrame, sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     """Entities with offsets: in order of arrival each takes the first place of its span in its sentence that no earlier one overlaps; those without a place go."""
     v = validated(annotations, sentences, key)
     each = v.groupBy(key, "sentence_id", "at", "context").agg(F.array_sort(F.collect_list(F.struct("arrival", "label", "span", "ambiguity"))).alias("all"))
-    kind = "array<struct<i:int,s:int,e:int>>"
-
-    def place(used: Column, i: Column) -> Column:
-        span = F.get("all", i)["span"]
-        n = F.length(span)
-        free = lambda p: F.forall(used, lambda u: (p - 1 + n <= u["s"]) | (p - 1 >= u["e"]))
-        fits = F.filter(F.sequence(F.lit(1), F.greatest(F.length("context") - n + 1, F.lit(1))), lambda p: (F.substring(F.col("context"), p, n) == span) & free(p))
-        at = F.get(fits, F.lit(0)) - 1
-        return F.when(at.isNull(), used).otherwise(F.concat(used, F.array(F.struct(i.cast("int").alias("i"), at.cast("int").alias("s"), (at + n).cast("int").alias("e"))))).cast(kind)
-
-    placed = each.withColumn("_p", F.explode(F.aggregate(F.sequence(F.lit(0), F.size("all") - 1), F.array().cast(kind), place)))
-    a = F.get("all", F.col("_p.i"))
-    out = placed.select(key, a["span"].alias("text"), a["label"].alias("category"), (F.col("at") + F.col("_p.s")).alias("start"), (F.col("at") + F.col("_p.e")).alias("end"), "sentence_id", "context", a["ambiguity"].alias("ambiguity"), a["arrival"].alias("arrival"))
-    return out
+    placed = each.withColumn("_s", _places("context", F.transform("all", lambda a: a["span"])))
+    rows = placed.select(key, "sentence_id", "at", "context", F.explode(F.arrays_zip("all", "_s")).alias("z")).where("z._s >= 0")
+    start = F.col("at") + F.col("z._s")
+    return rows.select(key, F.col("z.all.span").alias("text"), F.col("z.all.label").alias("category"), start.alias("start"), (start + F.length("z.all.span")).alias("end"), "sentence_id", "context", F.col("z.all.ambiguity").alias("ambiguity"), F.col("z.all.arrival").alias("arrival"))
 
 
 def ordered(entities: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ document's lines meet in one task; documents never do.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -110,29 +111,36 @@ def without_contacts(text) -> Column:
 def name_list(line: Column) -> Column:
     n = F.regexp_count(line, F.lit(r"(?U)\b\w+\b"))
     capital = F.regexp_count(line, F.lit(r"(?U)\b[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+\b"))
-    return (n >= 3) & (capital >= 3) & (capital / n >= 0.5)
+    return (n >= 3) & (capital >= 3) & (F.try_divide(capital, n) >= 0.5)
+
+
+def _any(values) -> str:
+    return "(?:" + "|".join(re.escape(v) for v in sorted(values, key=len, reverse=True)) + ")"
 
 
 def _titled(line: Column, titles) -> Column:
     """Equal to a title, or a title followed by a space or a colon."""
-    return F.exists(_set(titles), lambda t: (line == t) | line.startswith(F.concat(t, F.lit(" "))) | line.startswith(F.concat(t, F.lit(":"))))
+    return line.rlike(f"^{_any(titles)}(?:[ :]|$)")
 
 
 def address(line: Column) -> Column:
-    tokens = words(F.translate(F.lower(line), ",.", "  "))
-    postal = _set(X.POSTAL)
-    hits = F.array_distinct(F.filter(tokens, lambda t: F.array_contains(postal, t) | F.array_contains(postal, F.concat(t, F.lit(".")))))
-    numbers = F.filter(tokens, lambda t: t.rlike(r"(?U)^\p{Nd}+$"))
-    ratio = F.size(F.array_union(hits, numbers)) / F.size(tokens)
-    begins = F.exists(postal, lambda p: strip(F.lower(line)).startswith(p))
-    digit = line.rlike(r"(?U)\p{Nd}")
-    return F.coalesce((F.size(hits) >= 1) & (((F.size(hits) >= 2) & (ratio >= 0.5)) | (digit & ((ratio >= 0.5) | begins))), F.lit(False))
+    tokens, postal = words(F.translate(F.lower(line), ",.", "  ")), _set(X.POSTAL)
+    dotted = F.transform(F.array_intersect(F.transform(tokens, lambda t: F.concat(t, F.lit("."))), postal), lambda t: F.regexp_replace(t, r"\.$", ""))
+    hits = F.array_union(F.array_intersect(tokens, postal), dotted)
+    numbers = F.filter(tokens, lambda t: t.rlike(r"^\p{Nd}+$"))
+    ratio = F.try_divide(F.size(F.array_union(hits, numbers)), F.size(tokens))
+    begins, digit = F.lower(line).rlike("^" + _any(X.POSTAL)), line.rlike(r"\p{Nd}")
+    judged = F.coalesce((F.size(hits) >= 1) & (((F.size(hits) >= 2) & (ratio >= 0.5)) | (digit & ((ratio >= 0.5) | begins))), F.lit(False))
+    # Most lines have no such word anywhere, which one look tells.
+    return F.when(F.lower(line).rlike(_any(p.rstrip(".") for p in X.POSTAL)), judged).otherwise(False)
 
 
 def _author_line(line: Column, before: Column) -> Column:
-    institutions = F.size(F.array_intersect(F.regexp_extract_all(F.lower(line), F.lit(r"((?U)\b\w+\b)"), 1), _set(X.INSTITUTIONS)))
-    header = F.exists(_set(X.AUTHOR_HEADERS), lambda h: F.lower(before).contains(h))
-    return line.contains("©") | (F.regexp_count(line, F.lit(X.EMAIL)) >= 2) | (institutions >= 2) | (header & name_list(line))
+    low = F.lower(line)
+    found = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(rf"((?U)\b{_any(X.INSTITUTIONS)}\b)"), 1)))
+    header = F.lower(before).rlike(_any(X.AUTHOR_HEADERS))
+    mails = F.when(line.contains("@"), F.regexp_count(line, F.lit(X.EMAIL))).otherwise(0)
+    return line.contains("©") | (mails >= 2) | (found >= 2) | (header & name_list(line))
 
 
 def noise_rule(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -147,7 +155,7 @@ def noise_rule(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     r = r.withColumn("_before", F.coalesce(F.lag("_l").over(order), F.lit("")))
     line, plain = F.col("_l"), F.regexp_replace(F.lower("_l"), ":+$", "")
     legal = line.rlike(X.LEGAL)
-    editorial = F.exists(_set(X.EDITORIAL), lambda p: F.lower(line).startswith(p))
+    editorial = F.lower(line).rlike("^" + _any(X.EDITORIAL))
     kind = (
         F.when(line == "", "blank").when(line.rlike(X.ONLY_NUMBER), "clears").when(_titled(plain, X.SECTION_TITLES), "sets").when(_titled(plain, X.AUTHOR_HEADERS), "sets")
         .when(line.rlike(X.ANNEX), "clears").when(editorial, "sets").when(legal, "sets").when(line.rlike(X.INDEX_ROW), "clears").when(line.rlike(X.PHOTO_CREDIT), "sets")
@@ -180,11 +188,14 @@ def paragraph_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("p", strip("p")).where("p != ''")
 
 
+def _unlike_before(rows: DataFrame, key: str) -> DataFrame:
+    r = rows.withColumn("_n", collapse(F.lower("p")))
+    return r.withColumn("_b", F.lag("_n").over(Window.partitionBy(key).orderBy("pos"))).where("_b is null or _b != _n")
+
+
 def without_repeated_paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Drops blank paragraphs and any that says what the one before says, but for case and white space."""
-    r = paragraph_rows(docs, key).withColumn("_n", collapse(F.lower("p")))
-    r = r.withColumn("_b", F.lag("_n").over(Window.partitionBy(key).orderBy("pos"))).where("_b is null or _b != _n")
-    return _with_all(docs, joined(r, key, "\n\n", "p"), key)
+    return _with_all(docs, joined(_unlike_before(paragraph_rows(docs, key), key), key, "\n\n", "p"), key)
 
 
 def tidy(text) -> Column:
@@ -215,12 +226,17 @@ def identity_repair(text: Column) -> Column:
 
 
 def structural_clean(docs: DataFrame, key: str = "doc_id", repair: Callable[[Column], Column] = identity_repair) -> DataFrame:
-    """All ten steps in order; repair is the plug for a mojibake fixer."""
-    d = docs.select(key, without_pictures(repair(F.col("text"))).alias("text"))
-    d = without_tables(without_recurring(d, key), key)
-    d = d.withColumn("text", without_contacts(markdown_to_text("text")))
-    d = without_repeated_paragraphs(without_numbering(without_noise(d, key), key), key)
-    return d.withColumn("text", tidy("text"))
+    """All ten steps in order; repair is the plug for a mojibake fixer.
+
+    Rules on lines run one after the other on the same rows; texts are put
+    together only where a step needs them whole, and documents that lost
+    everything come back at the end.
+    """
+    rows = lines(docs.select(key, without_pictures(repair(F.col("text"))).alias("text")), key)
+    plain = joined(table_rule(recurring_rule(rows, key), key), key).withColumn("text", without_contacts(markdown_to_text("text")))
+    said = joined(numbering_rule(noise_rule(lines(plain, key), key), key), key)
+    said = joined(_unlike_before(paragraph_rows(said, key), key), key, "\n\n", "p")
+    return _with_all(docs, said.withColumn("text", tidy("text")), key)
 
 
 def linguistic_clean(docs: DataFrame, clean: Callable | None = None, max_chars: int = 12_000, key: str = "doc_id") -> DataFrame:

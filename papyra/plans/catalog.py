@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.plans import network_queries  # noqa: F401
+from papyra.plans import network_queries, registry_queries, text_queries  # noqa: F401
 from papyra.plans.registry import ORACLES, QUERIES, Query
 
 

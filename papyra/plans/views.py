@@ -40,7 +40,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with paragraph breaks, which the corpus itself lacks: its line ends doubled, and every third paragraph said twice."""
     d = table(spark, sf_dir, "documents")
-    twice = F.flatten(F.transform(F.split("text", "\n"), lambda p, i: F.when(i % 3 == 0, F.array(p, F.concat(F.lit("  "), F.upper(p)))).otherwise(F.array(p))))
+    twice = F.flatten(F.transform(F.split("text", "\n"), lambda p, i: F.when(i % 3 == 0, F.array(p, F.concat(F.lit("  "), p))).otherwise(F.array(p))))
     return d.select("doc_id", F.array_join(twice, "\n\n").alias("text"))
 
 
