@@ -152,7 +152,8 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     out = ["doc_id", "source", "size", "source_size", "target"]
     if not any(s["slots"] for s in sources):
         return placed.select(*out, F.lit(0).cast("long").alias("taken"))
-    used = _cut(placed).join(_slots(docs.sparkSession, sources), ["sid", "block"], "left")
+    # Both sides grow with the corpus: never a broadcast.
+    used = _cut(placed).join(_slots(docs.sparkSession, sources).hint("merge"), ["sid", "block"], "left")
     keys = ["sid", "at", *out]
     taken = used.groupBy(*keys).agg(F.sum(F.coalesce("uses", F.lit(0)) * (F.col("hi") - F.col("lo"))).cast("long").alias("taken"))
     return taken.select(*out, "taken").union(placed.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken")))
@@ -167,7 +168,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     placed, sources = _placed(docs)
     if not any(s["slots"] for s in sources):
         return docs.limit(0)
-    used = _cut(placed).join(_slots(docs.sparkSession, sources), ["sid", "block"])
+    # Both sides grow with the corpus: never a broadcast.
+    used = _cut(placed).join(_slots(docs.sparkSession, sources).hint("merge"), ["sid", "block"])
     array = lambda c: F.transform("pieces", lambda x: x[c])
     pieces = used.groupBy("sid", "at", "doc_id", "h").agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("lo", "hi", "uses"))))).alias("pieces"))
     # Equal rows share h, each with pieces of its own: one is kept and meets them all.
