@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra import schemas as S
 from papyra.operators.rules import RuleError, document_id_rules, enforce, integer_rules
@@ -34,7 +35,7 @@ def extension(path: Column) -> Column:
 
 def ner_files(spark: SparkSession, path: str) -> DataFrame:
     """document_id, mention_index and fields of each entity of annotation files; raises if a file isn't an object with a UUID and a list of objects."""
-    raw = spark.read.option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(S.NER_FILE.add("_bad", "string")).json(path)
+    raw = spark.read.option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(T.StructType([*S.NER_FILE.fields, T.StructField("_bad", T.StringType())])).json(path)
     # Bad files are looked for in what was parsed, which must be kept to be asked twice.
     raw = raw.select(F.input_file_name().alias("_file"), "*").persist()
     try:
