@@ -115,16 +115,20 @@ def _join(cosine: float):
             if block >= len(budget):
                 continue
             y = unit(x) @ rotation(d)
-            z = np.ascontiguousarray(y[:, c[block] : c[block + 1]], np.float32)
-            size = np.einsum("ij,ij->i", z, z)
+            z = y[:, c[block] : c[block + 1]]
+            # One product says whether a pair is within the block's share: z.w - |z|^2/2 - |w|^2/2 + share/2 >= 0.
+            half, one = np.einsum("ij,ij->i", z, z)[:, None] / 2, np.ones((len(z), 1))
+            near = np.hstack([z, budget[block] / 2 + 1e-4 - half, one]).astype(np.float32)
+            far = np.hstack([z, one, -half]).astype(np.float32)
             left, right = np.flatnonzero(stands[at]), np.flatnonzero(visits[at])
-            for a in range(0, len(left), 1024):
-                l = left[a : a + 1024]
-                for b in range(0, len(right), 4096):
-                    r = right[b : b + 4096]
-                    i, j = np.nonzero(z[l] @ z[r].T >= ((size[l] - budget[block] - 1e-4) / 2)[:, None] + size[r] / 2)
-                    for p in range(0, len(i), 1 << 15):
-                        _link(x, y, l[i[p : p + (1 << 15)]], r[j[p : p + (1 << 15)]], at, node, home, block, c, budget, cosine, n, links, label)
+            near, far = near[left], np.ascontiguousarray(far[right].T)
+            for a in range(0, len(left), 256):
+                for b in range(0, len(right), 1024):
+                    g = near[a : a + 256] @ far[:, b : b + 1024]
+                    if g.max() >= 0:
+                        i, j = np.nonzero(g >= 0)
+                        for p in range(0, len(i), 1 << 15):
+                            _link(x, y, left[a + i[p : p + (1 << 15)]], right[b + j[p : p + (1 << 15)]], at, node, home, block, c, budget, cosine, n, links, label)
         hit = np.flatnonzero(links)
         return pa.table({"node": pa.array(node[hit]), "links": pa.array(links[hit]), "least": pa.array(_least(node, label)[hit])})
 
