@@ -13,8 +13,9 @@ Equal sets are one node from then on. Texts that agree on a band meet in a
 bucket: up to `SMALL` nodes in all pairs, larger ones with the least and the
 greatest node, and in further rounds, as long as links turn up, with other
 members for buckets that still hold several groups. Every candidate pair is
-verified on the whole sets. Two texts of similarity 0.8 share no bucket with
-probability (1 - 0.8^5)^32 < 4e-6.
+verified on the whole sets, unless sketches of 64 coordinates (a byte each) agree
+in so few that this happens to one in 10^6 pairs of that similarity. Two texts of
+similarity 0.8 share no bucket with probability (1 - 0.8^5)^32 < 4e-6.
 
 Defined cases: texts without words (null, empty, blank) are a class of their own
 each; repeated rows are copies; a null doc_id counts as larger than any other and
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.flat import ODD, U, chains, mix, pair, texts_of, word_names, words_of
+from papyra.llm.flat import ODD, U, chains, mix, pair, release, texts_of, word_names, words_of
 from papyra.operators.components import connected_components
 from papyra.plans.durable import checkpointed
 
@@ -36,6 +37,7 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 SMALL = 8
+LEADS = 2
 #: Documents whose darts are thrown together, and cells of the plane looked at in one go.
 TOGETHER, CELLS = 256, 1 << 19
 _poisson = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(16)])
@@ -131,7 +133,10 @@ def _signed(counts: bool):
                 whole = np.concatenate([[U(0)], np.cumsum(mix(names + weights.astype(np.uint64)), dtype=np.uint64)])
                 node = mix(whole[at[1:]] - whole[at[:-1]] + n.astype(np.uint64)).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(key.reshape(-1).view(np.int64)))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(node, mask=n == 0), bands], names=["doc_id", "h", "node", "bands"])
+                low = (sig[:, :, :2].reshape(len(n), 64) & U(255)).astype(np.uint8).view(np.int64)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 8), pa.array(low.reshape(-1)))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(node, mask=n == 0), bands, sketch], names=["doc_id", "h", "node", "bands", "sketch"])
+            release()
 
     return run
 
@@ -145,6 +150,7 @@ def _set_rows(counts: bool):
                 short = (names >> U(32)).astype(np.uint32)
                 packed = [(short[x:y].tobytes(), weights[x:y].astype(np.uint32).tobytes() if counts else b"") for x, y in zip(at[:-1], at[1:])]
                 yield pa.record_batch([part.column(0), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], names=["node", "names", "weights"])
+            release()
 
     return run
 
@@ -166,49 +172,80 @@ def _verify(similar: float):
             c = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
             keep = np.array([similarity(*x) >= similar for x in zip(c["xn"], c["yn"], c["xw"], c["yw"])], bool)
             yield pa.record_batch([pa.array(np.array(c[n], np.int64)[keep]) for n in ("a", "b")], names=["a", "b"])
+            release()
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     side = lambda p, n: sets.select(F.col("node").alias(n), F.col("names").alias(p + "n"), F.col("weights").alias(p + "w"))
-    both = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b")
-    # Sizes alone rule out most pairs that can't reach the similarity.
-    fits = F.least(F.octet_length("xn"), F.octet_length("yn")) >= similar * F.greatest(F.octet_length("xn"), F.octet_length("yn"))
-    weighted = F.octet_length("xw") > 0
-    return both.where(fits | weighted).select("a", "b", "xn", "yn", "xw", "yw").mapInArrow(_verify(similar), "a long, b long")
+    size = sets.select(F.col("node").alias("b"), F.octet_length("names").alias("size"))
+    # Sizes alone rule out most pairs that can't reach the similarity, before a second set is sent to them.
+    small, large = F.least("size", F.octet_length("xn")), F.greatest("size", F.octet_length("xn"))
+    fits = (small >= similar * large) | (F.octet_length("xw") > 0)
+    both = pairs.join(size, "b").join(side("x", "a"), "a").where(fits).join(side("y", "b"), "b")
+    return both.select("a", "b", "xn", "yn", "xw", "yw").mapInArrow(_verify(similar), "a long, b long")
+
+
+def _agree(a: str, b: str):
+    """In how many of 64 coordinates two sketches (eight bytes in each of eight longs) agree."""
+    unlike = F.lit(0)
+    for k in range(8):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        for by in (4, 2, 1):  # the lowest bit of a byte becomes whether any of its bits is set
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        unlike = unlike + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return 64 - unlike
+
+
+def least_agreement(similar: float) -> int:
+    """Coordinates of 64 in which sketches of that similarity agree but for one in 10^6."""
+    return max(0, int(64 * similar - 4.75 * np.sqrt(64 * similar * (1 - similar))))
+
+
+def _met(placed: DataFrame, leads: list, agree: int) -> DataFrame:
+    """Pairs (a, b) of the nodes of each bucket with its leads, where groups differ and sketches agree."""
+    row = F.struct("node", "group", "sketch")
+    chosen = placed.groupBy("band").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.array_distinct(F.array(*(F.min_by(row, o) for o in leads))).alias("leads"))
+    lead = chosen.where("g0 != g1").select("band", F.explode("leads").alias("l")).select("band", F.col("l.node").alias("_n"), F.col("l.group").alias("_g"), F.col("l.sketch").alias("_s"))
+    both = placed.join(lead.hint("merge"), "band").where(F.col("group") != F.col("_g")).where(_agree("sketch", "_s") >= agree)
+    return both.select(F.least("node", "_n").alias("a"), F.greatest("node", "_n").alias("b"))
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR, counts: bool = False) -> DataFrame:
     """Per row: doc_id, h (hash of id and text), class_id (least doc_id of its class), kept (it is that document, once)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
-    signed = checkpointed(keyed.mapInArrow(_signed(counts), "doc_id long, h long, node long, bands array<long>"))
-    nodes = signed.where("node is not null")
-    places = nodes.dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
-    sizes = places.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("node").alias("greatest")).where("n > 1")
+    signed = checkpointed(keyed.mapInArrow(_signed(counts), "doc_id long, h long, node long, bands array<long>, sketch array<long>"))
+    nodes, agree = signed.where("node is not null"), least_agreement(similar)
+    places = nodes.dropDuplicates(["node"]).select("node", "sketch", F.explode("bands").alias("band"))
+    sizes = nodes.select("node", "bands").dropDuplicates(["node"]).select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = checkpointed(places.join(sizes, "band"))
-    few, many = shared.where(F.col("n") <= SMALL).select("band", "node"), shared.where(F.col("n") > SMALL)
-    pairs = few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
-    for end in ("least", "greatest"):
-        pairs = pairs.union(many.where(f"node != {end}").select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b")))
-    pairs = checkpointed(pairs.distinct())
+    few, many = shared.where(F.col("n") <= SMALL).select("band", "node", "sketch"), shared.where(F.col("n") > SMALL).select("band", "node", "sketch")
+    other = few.select("band", F.col("node").alias("b"), F.col("sketch").alias("_s"))
+    pairs = few.withColumnRenamed("node", "a").join(other, "band").where("a < b").where(_agree("sketch", "_s") >= agree).select("a", "b")
+    pairs = pairs.union(_met(many.withColumn("group", F.col("node")), [F.col("node"), -F.col("node").cast("double")], agree))
+    pairs = checkpointed(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")))
     # The text of one row of each node that is in a pair.
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
+    wanted = nodes.select("node", "h").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
     sets = checkpointed(wanted.join(keyed, "h").select("node", "text").mapInArrow(_set_rows(counts), "node long, names binary, weights binary").dropDuplicates(["node"]))
-    links = checkpointed(_verified(pairs, sets, similar))
+    # First each node with the partner it shares most bands with; then only pairs that could still join two groups.
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "bands")
+    best = ends.groupBy("p.x").agg(F.max(F.struct("bands", "p.y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
+    links = checkpointed(_verified(best, sets, similar))
     groups = checkpointed(connected_components(links))
+    side = lambda n, g: groups.select(F.col("node").alias(n), F.col("component").alias(g))
+    apart = pairs.join(side("a", "ga"), "a", "left").join(side("b", "gb"), "b", "left").where("ga is null or gb is null or ga != gb").select("a", "b")
+    found = checkpointed(_verified(apart.join(best, ["a", "b"], "left_anti"), sets, similar))
+    if not found.isEmpty():
+        links = links.union(found)
+        groups = checkpointed(connected_components(links))
     turn = 0
     while True:
-        # Buckets with many nodes that are still in several groups meet another of their members.
+        # Buckets with many nodes that are still in several groups meet LEADS more of their members.
         turn += 1
-        placed = many.select("band", "node").join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("group"))
-        split = placed.groupBy("band").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.min_by(F.struct("node", "group"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("g0 != g1")
-        more = placed.join(split, "band").where("group != lead.group").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        more = checkpointed(more.join(pairs, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
+        placed = many.join(groups, "node", "left").select("band", "node", "sketch", F.coalesce("component", "node").alias("group"))
+        more = _met(placed, [F.xxhash64("node", F.lit(LEADS * turn + i)) for i in range(LEADS)], agree).distinct()
         found = checkpointed(_verified(more, sets, similar))
-        pairs = checkpointed(pairs.union(more))
         if found.isEmpty():
             break
         links = links.union(found)
