@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.flat import U, mix, texts_of, word_names, words_of
+from papyra.llm.flat import U, mix, release, texts_of, word_names, words_of
 from papyra.llm.slices import ASKS, ASKS_ARROW, Sliced, groups, packed, told
 from papyra.plans.durable import checkpointed
 
@@ -89,6 +89,7 @@ def _local_counts(buckets: int):
                 n = np.diff(np.append(start, len(order))).astype(np.uint64)
                 names, more = _added(np.concatenate([names, t.names[order[start]]]), np.concatenate([more, n | t.rare[order[start]].astype(np.uint64) << CLASS_SHIFT]))
         yield from _packed_rows(names, more, buckets)
+        release()
 
     return run
 

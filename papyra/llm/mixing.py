@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papyra.llm.flat import release
+
 BLOCK = 64
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -194,4 +196,6 @@ def _taken_text(text: pd.Series, lo: pd.Series, hi: pd.Series, uses: pd.Series)
             own = [w for x, y, k in zip(a, b, u) if k > n for w in words[x:y]]
             passes.append(t if len(own) == len(words) else " ".join(own))
         out.append("\n".join(passes))
-    return pd.Series(out, dtype=object)
+    said = pd.Series(out, dtype=object)
+    release()
+    return said

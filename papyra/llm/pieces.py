@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from papyra.llm.flat import release
+
 MARK = "▁"
 TABLE_CHUNKS = 200_000
 #: Chunks longer than this are segmented but not kept in the table.
@@ -104,6 +106,7 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
             if rows:
                 n, i, t = zip(*rows)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(i), pa.array(t)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            release()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, RESULT)
 

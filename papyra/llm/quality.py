@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.flat import texts_of
+from papyra.llm.flat import release, texts_of
 
 CHUNK, STEP = 1024, 768
 STRIDE, GROUPS, DIMS, FILTERS, HIDDEN = 4, 3, 4, 32, 16
@@ -106,7 +106,7 @@ class ByteConvolution:
     def fit(self, texts: list[str | None], labels: list[int], steps: int = STEPS, seed: int = 11) -> ByteConvolution:
         y = np.array(labels, np.float32)
         share = float(y.mean()) if len(y) else 0.5
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             self.constant = share
             return self
         self.p["out0"][:] = np.log(share / (1 - share))
@@ -164,6 +164,7 @@ def score_quality(docs: DataFrame, model: ByteConvolution, name: str = "score")
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(model.scores(b.column(b.schema.get_field_index("text"))))], names=[*keep, name])
+            release()
 
     return docs.select(*keep).mapInArrow(run, schema)
 

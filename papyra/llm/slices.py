@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm.flat import release
+
 #: Text bytes of a slice and of a bucket's share; the memory of a task follows these.
 SLICE_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
@@ -28,7 +30,7 @@ _answers = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("names", pa.
 
 
 class Sliced:
-    """The documents with a column `slice`, and how many slices and buckets there are.
+    """The documents with a column `_slice`, and how many slices and buckets there are.
 
     Of the other columns those named in carry stay.
     """
@@ -38,7 +40,7 @@ class Sliced:
         size = (size["b"] or 0) + 64 * size["n"]
         self.slices = max(1, math.ceil(size / SLICE_BYTES))
         self.buckets = max(8, math.ceil(size / BUCKET_BYTES))
-        self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.slices))).repartition(self.buckets, "slice")
+        self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).withColumn("_slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.slices))).repartition(self.buckets, "_slice")
 
     def ask(self, f: Callable, answers: DataFrame | None = None) -> DataFrame:
         """f(table, answers table or None, buckets) yields (kind, names, more or None) for its slice."""
@@ -48,6 +50,7 @@ class Sliced:
             out = []
             for kind, names, more in f(table, said):
                 out += packed(key[0].as_py(), kind, names, more, n)
+            release()
             return pa.Table.from_pylist(out, schema=ASKS_ARROW)
 
         return self._by_slice(question, answers, ASKS)
@@ -73,15 +76,22 @@ class Sliced:
                 if len(who):
                     yield from pa.Table.from_pylist([{"slice": int(who[a]), "kind": kind, "names": say[a:b].tobytes(), "more": None if extra is None else extra[a:b].tobytes()} for a, b in zip(lo, hi)], schema=_answers).to_batches()
 
+            release()
+
         return asked.repartition(self.buckets, "bucket").mapInArrow(reply, ANSWERS)
 
     def finish(self, f: Callable, schema: str, answers: DataFrame) -> DataFrame:
-        return self._by_slice(lambda key, table, said=None: f(table, said), answers, schema)
+        def last(key, table, said=None):
+            out = f(table, said)
+            release()
+            return out
+
+        return self._by_slice(last, answers, schema)
 
     def _by_slice(self, f, answers, schema):
         if answers is None:
-            return self.docs.groupBy("slice").applyInArrow(lambda key, table: f(key, table), schema)
-        return self.docs.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(lambda key, table, said: f(key, table, said), schema)
+            return self.docs.groupBy("_slice").applyInArrow(lambda key, table: f(key, table), schema)
+        return self.docs.groupBy("_slice").cogroup(answers.groupBy("slice")).applyInArrow(lambda key, table, said: f(key, table, said), schema)
 
 
 def packed(slice_: int, kind: int, names: np.ndarray, more: np.ndarray | None, buckets: int) -> list[dict]:
