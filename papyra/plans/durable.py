@@ -1,4 +1,4 @@
-"""Cutting lineage with files that all executors share."""
+"""Session matters: lineage cut with files that all executors share, and one pool of Python workers."""
 
 from __future__ import annotations
 
@@ -18,3 +18,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def one_worker_pool(spark: SparkSession) -> None:
+    """Lets all kinds of Python steps use the same workers.
+
+    Workers are pooled by their environment, and short tracebacks, which only some
+    kinds of steps have, are part of it: with them an executor keeps twice as many
+    idle workers.
+    """
+    spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
