@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyra.llm.flat import release
+from papyra.plans.durable import one_worker_pool
 
 BLOCK = 64
 WEIGHTS = (5, 2, 1)
@@ -128,6 +129,7 @@ def _slots(spark: SparkSession, sources: list[dict]) -> DataFrame:
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
     """Documents with their source's figures and their first word's place in its stream."""
+    one_worker_pool(docs.sparkSession)
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(*docs.columns).alias("h"))
     spark = docs.sparkSession
     sources = _sources(sized)

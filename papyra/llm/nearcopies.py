@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm.flat import ODD, U, chains, mix, pair, release, texts_of, word_names, words_of
 from papyra.operators.components import connected_components
-from papyra.plans.durable import checkpointed
+from papyra.plans.durable import checkpointed, one_worker_pool
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -214,6 +214,7 @@ def _met(placed: DataFrame, leads: list, agree: int) -> DataFrame:
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR, counts: bool = False) -> DataFrame:
     """Per row: doc_id, h (hash of id and text), class_id (least doc_id of its class), kept (it is that document, once)."""
+    one_worker_pool(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
     signed = checkpointed(keyed.mapInArrow(_signed(counts), "doc_id long, h long, node long, bands array<long>, sketch array<long>"))
     nodes, agree = signed.where("node is not null"), least_agreement(similar)

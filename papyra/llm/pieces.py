@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from papyra.llm.flat import release
+from papyra.plans.durable import one_worker_pool
 
 MARK = "▁"
 TABLE_CHUNKS = 200_000
@@ -90,6 +91,7 @@ TOGETHER = 1 << 20
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     """Per document: doc_id, n_tokens, and digests of its ids and of its decoded text."""
+    one_worker_pool(docs.sparkSession)
 
     def run(batches):
         e = encoder(model)

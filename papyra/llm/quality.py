@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.flat import release, texts_of
+from papyra.plans.durable import one_worker_pool
 
 CHUNK, STEP = 1024, 768
 STRIDE, GROUPS, DIMS, FILTERS, HIDDEN = 4, 3, 4, 32, 16
@@ -157,6 +158,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 def score_quality(docs: DataFrame, model: ByteConvolution, name: str = "score") -> DataFrame:
     """The rows of docs with their score in a column of that name, in place of any such column."""
+    one_worker_pool(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name != name]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double"
     keep = [f.name for f in fields]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.flat import release
+from papyra.plans.durable import one_worker_pool
 
 #: Text bytes of a slice and of a bucket's share; the memory of a task follows these.
 SLICE_BYTES = 2 << 20
@@ -36,6 +37,7 @@ class Sliced:
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()):
+        one_worker_pool(docs.sparkSession)
         size = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("b"), F.count(F.lit(1)).alias("n")).first()
         size = (size["b"] or 0) + 64 * size["n"]
         self.slices = max(1, math.ceil(size / SLICE_BYTES))
