@@ -37,7 +37,7 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 SMALL = 8
-LEADS = 2
+LEADS = 16
 #: Documents whose darts are thrown together, and cells of the plane looked at in one go.
 TOGETHER, CELLS = 256, 1 << 19
 _poisson = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(16)])
