@@ -11,11 +11,12 @@ a text that leaves a coordinate empty looks at twice the ranks.
 
 Equal sets are one node from then on. Texts that agree on a band meet in a
 bucket: up to `SMALL` nodes in all pairs, larger ones with the least and the
-greatest node, and in further rounds, as long as links turn up, with other
-members for buckets that still hold several groups. Every candidate pair is
-verified on the whole sets, unless sketches of 64 coordinates (a byte each) agree
-in so few that this happens to one in 10^6 pairs of that similarity. Two texts of
-similarity 0.8 share no bucket with probability (1 - 0.8^5)^32 < 4e-6.
+greatest node. These candidate pairs are verified on the whole sets, unless
+sketches of 64 coordinates (a byte each) agree in so few that this happens to one
+in 10^6 pairs of that similarity. Large buckets that then still hold several
+groups are compared whole, without sketches: all pairs of different groups, in
+blocks of `BLOCK` by `BLOCK` nodes. Two texts of similarity 0.8 share no bucket
+with probability (1 - 0.8^5)^32 < 4e-6.
 
 Defined cases: texts without words (null, empty, blank) are a class of their own
 each; repeated rows are copies; a null doc_id counts as larger than any other and
@@ -30,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.flat import ODD, U, chains, mix, pair, release, texts_of, word_names, words_of
-from papyra.operators.components import connected_components
+from papyra.operators.components import connected_components, least_labels
 from papyra.plans.durable import checkpointed, one_worker_pool
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 SMALL = 8
-LEADS = 16
+#: Nodes, and bytes of their sets, on each side of a block of pairs; names whose products are added in one go.
+BLOCK, BLOCK_BYTES, SLAB = 1024, 4 << 20, 2048
 #: Documents whose darts are thrown together, and cells of the plane looked at in one go.
 TOGETHER, CELLS = 256, 1 << 19
 _poisson = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(16)])
@@ -212,6 +214,96 @@ def _met(placed: DataFrame, leads: list, agree: int) -> DataFrame:
     return both.select(F.least("node", "_n").alias("a"), F.greatest("node", "_n").alias("b"))
 
 
+def _elements(names: bytes, weights: bytes) -> np.ndarray:
+    """A packed set as distinct 64-bit elements: a name of weight w, or one that stands w times, is w of them."""
+    a = np.frombuffer(names, np.uint32)
+    if weights:
+        a = np.repeat(a, np.frombuffer(weights, np.uint32).astype(np.int64))
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+    nth = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    return a.astype(np.uint64) << U(32) | nth.astype(np.uint64)
+
+
+def in_both(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of xs has in common with each of ys."""
+    x, y = (np.concatenate([np.zeros(0, np.uint64), *s]) for s in (xs, ys))
+    names = np.intersect1d(x, y)
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    if len(names) == 0:
+        return out
+
+    def placed(sets, all_):
+        k = np.minimum(np.searchsorted(names, all_), len(names) - 1)
+        at = np.flatnonzero(names[k] == all_)
+        at = at[np.argsort(k[at], kind="stable")]
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[at], k[at]
+
+    (row, i), (column, j) = placed(xs, x), placed(ys, y)
+    n, m = np.bincount(i, minlength=len(names)), np.bincount(j, minlength=len(names))
+    # Names that few hold are counted pair by pair, the others by products of 0-1 matrices.
+    rare = n * m * 256 <= out.size
+    start = np.cumsum(m) - m
+    few = np.flatnonzero(rare[i])
+    pairs = np.cumsum(m[i[few]])
+    cuts = np.searchsorted(pairs, np.arange(0, int(pairs[-1]) + CELLS, CELLS)) if len(few) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), np.append(cuts[1:-1], len(few)).tolist()):
+        e = few[a:b]
+        times = m[i[e]]
+        other = np.repeat(start[i[e]] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        out += np.bincount(np.repeat(row[e], times) * len(ys) + column[other], minlength=out.size).reshape(out.shape)
+    kept = np.cumsum(~rare) - 1
+    keep, keep_too = ~rare[i], ~rare[j]
+    row, i, column, j = row[keep], kept[i[keep]], column[keep_too], kept[j[keep_too]]
+    for a in range(0, int((~rare).sum()), SLAB):
+        left, right = np.zeros((len(xs), SLAB), np.float32), np.zeros((len(ys), SLAB), np.float32)
+        u, v = slice(*np.searchsorted(i, [a, a + SLAB])), slice(*np.searchsorted(j, [a, a + SLAB]))
+        left[row[u], i[u] - a] = 1
+        right[column[v], j[v] - a] = 1
+        out += left @ right.T
+    return out
+
+
+def _joined(similar: float):
+    """Links (a, b) that join the groups of a block: all pairs of its two sides (or of its one side) are compared."""
+
+    def run(key, table):
+        part = table.column("part").to_numpy()
+        ids, group = np.unique(table.column("group").to_numpy(), return_inverse=True)
+        sets = [_elements(n, w) for n, w in zip(table.column("names").to_pylist(), table.column("weights").to_pylist())]
+        size = np.array([len(s) for s in sets], np.float64)
+        x, y = (np.flatnonzero(part == k.as_py()) for k in key[1:])
+        both = in_both([sets[k] for k in x], [sets[k] for k in y]).astype(np.float64)
+        union = size[x][:, None] + size[y][None, :] - both
+        i, j = np.nonzero((both / np.maximum(union, 1) >= similar) & (group[x][:, None] != group[y][None, :]))
+        label = least_labels(group[x[i]], group[y[j]], len(ids))
+        release()
+        return pa.table({"a": ids, "b": ids[label]}).filter(pa.array(label != np.arange(len(ids))))
+
+    return run
+
+
+def _rest(many: DataFrame, groups: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links between the groups (named by nodes) of large buckets: every pair of different groups of a bucket is compared.
+
+    The largest group of a bucket is compared with the others, not with itself, and
+    the others with each other. Both are dealt into parts by a hash of the node; a
+    pair of parts is a block, and a task holds one block.
+    """
+    placed = many.join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("group"))
+    sized = placed.join(sets.select("node", F.octet_length("names").cast("long").alias("size")), "node")
+    row = F.struct("n", "size", "group")
+    held = sized.groupBy("band", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    held = held.groupBy("band").agg(F.max(row).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    held = held.select("band", F.col("main.group").alias("_m"), parts(F.col("main.n"), F.col("main.size")).alias("_p"), parts(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("_q"))
+    main, salt = F.col("group") == F.col("_m"), F.xxhash64("node", F.lit(1))
+    dealt = placed.join(held.hint("merge"), "band").withColumn("part", F.when(main, F.pmod(salt, "_p")).otherwise(F.col("_p") + F.pmod(salt, "_q")).cast("int"))
+    dealt = dealt.select("band", "node", "group", "part", F.when(main, F.col("_p")).otherwise(0).alias("_from"), (F.col("_p") + F.col("_q") - 1).alias("_to"))
+    full = dealt.join(sets, "node").select("band", "group", "part", "names", "weights", F.explode(F.sequence("_from", "_to")).alias("_k"))
+    blocks = full.select("band", F.least("part", "_k").alias("x"), F.greatest("part", "_k").alias("y"), "part", "group", "names", "weights")
+    return blocks.groupBy("band", "x", "y").applyInArrow(_joined(similar), "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, similar: float = SIMILAR, counts: bool = False) -> DataFrame:
     """Per row: doc_id, h (hash of id and text), class_id (least doc_id of its class), kept (it is that document, once)."""
     one_worker_pool(docs.sparkSession)
@@ -240,15 +332,8 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, counts: bool = False)
     if not found.isEmpty():
         links = links.union(found)
         groups = checkpointed(connected_components(links))
-    turn = 0
-    while True:
-        # Buckets with many nodes that are still in several groups meet LEADS more of their members.
-        turn += 1
-        placed = many.join(groups, "node", "left").select("band", "node", "sketch", F.coalesce("component", "node").alias("group"))
-        more = _met(placed, [F.xxhash64("node", F.lit(LEADS * turn + i)) for i in range(LEADS)], agree).distinct()
-        found = checkpointed(_verified(more, sets, similar))
-        if found.isEmpty():
-            break
+    found = checkpointed(_rest(many, groups, sets, similar))
+    if not found.isEmpty():
         links = links.union(found)
         groups = checkpointed(connected_components(links))
     labelled = signed.select("doc_id", "h", "node").join(groups.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))

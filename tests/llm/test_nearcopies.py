@@ -74,6 +74,50 @@ def test_large_groups(make, monkeypatch):
         assert sorted(((r["doc_id"], r["class_id"]) for r in near_copies(make(rows)).collect()), key=str) == want
 
 
+def family(name, n):
+    """Texts of one base with four edits each, all less than 0.8 alike, and a pair of 0.81 that shares only what the base has too."""
+    r = np.random.default_rng(len(name))
+    base = [f"{name}{i}" for i in range(150)]
+    texts = []
+    for k in range(n):
+        w = base[:]
+        for i in range(4):
+            w[int(r.integers(5, 32)) + 37 * i] = f"{name}c{k}_{i}"
+        texts.append(" ".join(w))
+    one, two = base[:], base[:]
+    one[75] = f"{name}one"
+    two[40] = two[110] = f"{name}two"
+    return texts + [" ".join(one), " ".join(two)]
+
+
+def test_lone_links_in_large_buckets(make):
+    rows = [(10000 * k + i, t, "a") for k, name in enumerate(["f", "gg"]) for i, t in enumerate(family(name, 2500))]
+    got = {r["doc_id"]: r["class_id"] for r in near_copies(make(rows)).collect()}
+    assert {d: c for d, c in got.items() if d != c} == {2501: 2500, 12501: 12500}
+
+
+def test_blocks_count_as_similarity_does(monkeypatch):
+    monkeypatch.setattr(nearcopies, "SLAB", 16)
+    r = np.random.default_rng(3)
+    for most in (1, 4):
+        sets = [(np.sort(r.choice(np.arange(150, dtype=np.uint32), int(n), replace=False)), r.integers(1, most + 1, int(n)).astype(np.uint32)) for n in r.integers(0, 120, 40)]
+        packed = [(n.tobytes(), w.tobytes() if most > 1 else b"") for n, w in sets]
+        elements = [nearcopies._elements(*p) for p in packed]
+        both = nearcopies.in_both(elements[:15], elements[15:])
+        for i, j in np.ndindex(both.shape):
+            (x, u), (y, v) = packed[i], packed[15 + j]
+            assert both[i, j] / max(1, len(elements[i]) + len(elements[15 + j]) - both[i, j]) == nearcopies.similarity(x, y, u, v)
+
+
+def test_blocks_of_several_parts(make, monkeypatch):
+    rows = group(80)
+    want = brute(rows)
+    monkeypatch.setattr(nearcopies, "SMALL", 2)
+    monkeypatch.setattr(nearcopies, "BLOCK", 3)
+    for counts in (False, True):
+        assert sorted(((r["doc_id"], r["class_id"]) for r in near_copies(make(rows), counts=counts).collect()), key=str) == want
+
+
 def test_one_of_each_class_stays(docs, rows):
     out = without_copies(docs)
     assert out.columns == docs.columns
