@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from papyra.functions import names as N
 from papyra.operators import audit as A
 from papyra.operators import resolution as R
-from papyra.plans import jobs
+from papyra.plans import catalog, jobs
 from papyra.streaming import incremental
 
 FULL = "Griselda Zubizarreta Vargas"
@@ -124,3 +124,14 @@ def test_stream(spark, tmp_path):
     assert kept.count() == 4 and kept.select("canonical_id").distinct().count() == 1 and "second_match_score" not in kept.columns
     assert {r["match_type"] for r in kept.where("document_id = 'd1'").collect()} == {"exact"}
     assert spark.read.parquet(f"{tmp_path}/out/canonicals").count() == 1 and spark.read.parquet(f"{tmp_path}/out/aliases").count() == 1
+
+
+def corpus(spark, folder, texts):
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_families_of_all_documents(spark, tmp_path):
+    d = corpus(spark, tmp_path, {1: "Ana Gómez", 2: "Juan Pérez", 3: "Eva Díaz"})
+    got = {(r["document_id"], r["key"], r["root"]) for r in catalog.queries()["name_prefix_families"](spark, d).collect()}
+    assert got == {("1", "ana gomez", "ana gomez"), ("1", "ana gomez vargas", "ana gomez"), ("2", "juan perez", "juan perez"), ("2", "juan perez vargas", "juan perez")}
