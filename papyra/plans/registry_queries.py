@@ -103,7 +103,7 @@ def resolve_person(spark, d):
 
 @query()
 def resolve_fuzzy_top2(spark, d):
-    return R.fuzzy_top2(_groups(spark, d).where("category != 'CHAR'"), R.candidates(V.registry(spark, d)))
+    return R.fuzzy_top2(_groups(spark, d).where("strategy != 'generic_actor'"), R.candidates(V.registry(spark, d)))
 
 
 def _resolved(spark, d):

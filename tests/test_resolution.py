@@ -135,3 +135,9 @@ def test_families_of_all_documents(spark, tmp_path):
     d = corpus(spark, tmp_path, {1: "Ana Gómez", 2: "Juan Pérez", 3: "Eva Díaz"})
     got = {(r["document_id"], r["key"], r["root"]) for r in catalog.queries()["name_prefix_families"](spark, d).collect()}
     assert got == {("1", "ana gomez", "ana gomez"), ("1", "ana gomez vargas", "ana gomez"), ("2", "juan perez", "juan perez"), ("2", "juan perez vargas", "juan perez")}
+
+
+def test_fuzzy_scores_every_category(spark):
+    got = {(r["category"], r["comparison_key"]) for r in catalog.queries()["resolve_fuzzy_top2"](spark, "/root/testdata/sf0.001").collect()}
+    plans = catalog.queries()["resolve_plans"](spark, "/root/testdata/sf0.001").where("strategy != 'generic_actor'").select("comparison_key").distinct().collect()
+    assert {c for c, _ in got} == {"CHAR", "PRAC", "INFRA", "GOV", "LOC"} and {k for _, k in got} == {r[0] for r in plans}
