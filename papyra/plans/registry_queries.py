@@ -38,28 +38,31 @@ def name_normalize(spark, d):
 
 
 def _phrases(spark, d):
-    """Two-word phrases of the corpus, some made plural actors or persons."""
+    """The phrases of the corpus by document and position: each word made a plural actor, or each pair of words, some made persons; a lone word is a phrase too."""
     doc = V.table(spark, d, "documents")
-    w = F.split(F.regexp_replace("text", r"[^\p{L} ]", ""), " +")
-    one, two = F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.get(w, F.lit(1))
-    return doc.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("mineros "), F.lower(one))).when(F.col("doc_id") % 3 == 1, F.initcap(F.concat_ws(" ", one, two))).otherwise(F.concat_ws(" ", one, two)).alias("phrase"))
+    w = F.split(F.regexp_replace(F.regexp_replace("text", r"[\s\p{Z}]+", " "), r"[^\p{L} ]", ""), " +")
+    doc = doc.select("doc_id", F.filter(w, lambda x: x != "").alias("one")).withColumn("two", F.slice("one", F.lit(2), F.greatest(F.size("one"), F.lit(0))))
+    p = doc.select("doc_id", F.posexplode_outer(F.arrays_zip("one", "two")).alias("position", "p")).select("doc_id", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("p.one", F.lit("")).alias("one"), "p.two")
+    one, two, kind = F.col("one"), F.col("two"), F.coalesce(F.col("doc_id") % 3, F.lit(2))
+    p = p.where((kind == 0) | two.isNotNull() | (F.col("position") == 0))
+    return p.select("doc_id", "position", F.when(kind == 0, F.concat(F.lit("mineros "), F.lower(one))).when(kind == 1, F.initcap(F.concat_ws(" ", one, two))).otherwise(F.concat_ws(" ", one, two)).alias("phrase"))
 
 
 @query()
 def generic_singular(spark, d):
-    return N.with_features(_phrases(spark, d), "phrase").select("doc_id", "phrase", "generic")
+    return N.with_features(_phrases(spark, d), "phrase").select("doc_id", "position", "phrase", "generic")
 
 
 @query()
 def person_tokens(spark, d):
-    return N.with_features(_phrases(spark, d), "phrase").select("doc_id", "phrase", F.array_join("tokens", " ").alias("tokens"), "significant")
+    return N.with_features(_phrases(spark, d), "phrase").select("doc_id", "position", "phrase", F.array_join("tokens", " ").alias("tokens"), "significant")
 
 
 @query()
 def name_prefix_families(spark, d):
     p = _phrases(spark, d)
     three = p.withColumn("phrase", F.concat_ws(" ", "phrase", F.lit("Vargas")))
-    both = p.union(three).select((F.col("doc_id") % 20).cast("string").alias("document_id"), F.col("phrase").alias("source_name"), F.col("doc_id").alias("mention_index"))
+    both = p.union(three).select((F.col("doc_id") % 20).cast("string").alias("document_id"), F.col("phrase").alias("source_name"), F.struct("doc_id", "position").alias("mention_index"))
     f = N.with_features(both, "source_name").where("tokens is not null")
     return R.families(f)
 

@@ -141,3 +141,14 @@ def test_fuzzy_scores_every_category(spark):
     got = {(r["category"], r["comparison_key"]) for r in catalog.queries()["resolve_fuzzy_top2"](spark, "/root/testdata/sf0.001").collect()}
     plans = catalog.queries()["resolve_plans"](spark, "/root/testdata/sf0.001").where("strategy != 'generic_actor'").select("comparison_key").distinct().collect()
     assert {c for c, _ in got} == {"CHAR", "PRAC", "INFRA", "GOV", "LOC"} and {k for _, k in got} == {r[0] for r in plans}
+
+
+def test_phrases_of_whole_texts(spark, tmp_path):
+    d = corpus(spark, tmp_path, {1: "uno dos\ntres", 2: "ayer vino, Juan Pérez", 3: "- uno\tdos", 4: "solo", 5: None})
+    rows = {q: catalog.queries()[q](spark, d).collect() for q in ("generic_singular", "person_tokens", "name_prefix_families")}
+    want = [(1, 0, "Uno Dos"), (1, 1, "Dos Tres"), (2, 0, "ayer vino"), (2, 1, "vino Juan"), (2, 2, "Juan Pérez"), (3, 0, "mineros uno"), (3, 1, "mineros dos"), (4, 0, "Solo"), (5, 0, "")]
+    for q in ("generic_singular", "person_tokens"):
+        assert sorted((r["doc_id"], r["position"], r["phrase"]) for r in rows[q]) == want
+    assert {r["generic"] for r in rows["generic_singular"] if r["doc_id"] == 3} == {"minero uno", "minero dos"}
+    assert {r["tokens"] for r in rows["person_tokens"] if r["doc_id"] == 2 and r["tokens"]} == {"juan perez"}
+    assert ("2", "juan perez vargas", "juan perez") in {(r["document_id"], r["key"], r["root"]) for r in rows["name_prefix_families"]}
