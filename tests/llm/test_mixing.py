@@ -4,8 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from papyra.llm.mixing import WORD, draw, mix_sources, mixed_documents, permuted, targets
+from papyra.llm.mixing import BLOCK, WORD, draw, mix_plan, mix_sources, mixed_documents, permuted, shard_slots, targets
+from papyra.llm.rows import row_hash
 
 
 def test_targets():
@@ -22,10 +24,68 @@ def test_permutations():
     assert (permuted(np.arange(100), np.full(100, 100), np.zeros(100, int)) != permuted(np.arange(100) + 100, np.full(100, 100), np.zeros(100, int))).any()
 
 
-def test_draws_keep_totals():
-    slots = np.array([1000, 10, 0, 333])
-    d = draw(slots, 100, np.random.default_rng(0))
-    assert (d.sum(0) == slots).all() and (d.sum(1)[:-1] == 100).all()
+def test_draws_come_near_the_need_and_keep_the_most():
+    need, most = np.array([1000.0, 10, 0, 333]), np.array([1000, 10, 50, 999])
+    d = draw(need, most, 60, np.random.default_rng(0))
+    assert d.sum() == 1343 and (d.sum(1)[:-1] == 60).all() and (d.sum(0) <= most).all()
+    assert (abs(d.sum(0) - need) <= 12).all()
+    other = draw(need, 2 * most, 60, np.random.default_rng(1))
+    assert (other[:5] != d[:5]).any() and other[:-1].std(0)[0] > 1
+    assert draw(np.array([50.0]), np.array([20]), 7, np.random.default_rng(0)).sum() == 20
+
+
+def mixed(rows, hashes, seed):
+    """The mix in plain Python: (doc_id, source, size, taken) of each row, and (shard, source, block, turn) of each slot."""
+    size = [len(re.findall(WORD, t or "")) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    own = [sum(n for n, r in zip(size, rows) if r[2] == s) for s in names]
+    goal = targets(own, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    live = [i for i in range(len(names)) if goal[i] > 0]
+    blocks = {i: -(-own[i] // BLOCK) for i in live}
+    need = np.array([goal[i] * blocks[i] / own[i] for i in live])
+    counts = draw(need, 3 * np.array([blocks[i] for i in live]), shard_slots(round(need.sum())), np.random.default_rng(seed))
+    slots, seen = [], Counter()
+    for shard, held in enumerate(counts):
+        for i, n in zip(live, held):
+            for _ in range(n):
+                r, seen[i] = seen[i], seen[i] + 1
+                slots.append((shard, names[i], int(permuted(np.array([r]), np.array([blocks[i]]), np.array([i]), seed)[0]), r // blocks[i]))
+    uses = Counter((s, b) for _, s, b, _ in slots)
+    parts, out = int(np.sqrt(len(rows))), []
+    for s in names:
+        at = 0
+        for k in sorted((k for k in range(len(rows)) if rows[k][2] == s), key=lambda k: (hashes[k] % parts, hashes[k])):
+            out.append((rows[k][0], s, size[k], sum(uses[s, w // BLOCK] for w in range(at, at + size[k]))))
+            at += size[k]
+    return out, slots
+
+
+def test_against_plain_python(make):
+    """Rows without repeats; another seed gives another mix."""
+    rows = [(i, " ".join(f"w{j}" for j in range(1 + i * 37 % 400)), [None, "a", "b", "c"][i * i % 7 % 4]) for i in range(90)] + [(90, None, "a"), (91, " ", "d")]
+    docs = make(rows)
+    h = {r["doc_id"]: r["h"] for r in docs.select("doc_id", row_hash(docs).alias("h")).collect()}
+    results = []
+    for seed in (1, 2):
+        taken, slots = mixed(rows, [h[r[0]] for r in rows], seed)
+        got = [(r["doc_id"], r["source"], r["size"], r["taken"]) for r in mix_sources(docs, seed).collect()]
+        assert sorted(got, key=str) == sorted(taken, key=str)
+        plan = mix_plan(docs, seed).collect()
+        assert Counter((r["shard"], r["source"], r["block"], r["turn"]) for r in plan) == Counter(slots)
+        for shard in {r["shard"] for r in plan}:
+            own = sorted(r["slot"] for r in plan if r["shard"] == shard)
+            assert own == list(range(len(own)))
+        results.append(sorted(got, key=str))
+    assert results[0] != results[1]
+
+
+def test_names_may_clash(docs):
+    other = docs
+    for c in ("_h", "_p", "_d", "_all", "sid", "at", "size", "row", "its", "all", "part", "taken"):
+        other = other.withColumn(c, F.lit("x"))
+    assert Counter(map(tuple, mix_sources(other).select("doc_id", "size", "target").collect())) == Counter(map(tuple, mix_sources(docs).select("doc_id", "size", "target").collect()))
+    out = mixed_documents(other)
+    assert out.columns == other.columns and {r[c] for r in out.collect() for c in ("_h", "_p", "sid", "row", "taken")} == {"x"}
 
 
 def test_shares(docs, rows):
