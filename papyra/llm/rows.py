@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def quoted(name: str) -> str:
@@ -26,6 +25,7 @@ def with_field(docs: DataFrame, name: str, value: Column) -> Column:
     return F.struct(*(value.alias(c) if c == name else F.col("row")[c].alias(c) for c in docs.columns)).alias("row")
 
 
-def spelled(fields: list[T.StructField]) -> str:
-    """A schema string of the fields."""
-    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in fields)
+def text_struct(docs: DataFrame) -> str:
+    """The type of the struct `row` of docs, with text as a string."""
+    fields = docs.schema.fields
+    return "struct<" + ", ".join(f"{quoted(f.name)}: {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in fields) + ">"

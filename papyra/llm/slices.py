@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.flat import release
+from papyra.llm.rows import quoted
 from papyra.plans.durable import one_worker_pool
 
 #: Text bytes of a slice and of a bucket's share; the memory of a task follows these.
@@ -31,9 +32,9 @@ _answers = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("names", pa.
 
 
 class Sliced:
-    """The documents with a column `_slice`, and how many slices and buckets there are.
+    """The documents as doc_id, text and their slice, and how many slices and buckets there are.
 
-    Of the other columns those named in carry stay.
+    The columns named in carry stay, in a struct `row`.
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()):
@@ -42,7 +43,9 @@ class Sliced:
         size = (size["b"] or 0) + 64 * size["n"]
         self.slices = max(1, math.ceil(size / SLICE_BYTES))
         self.buckets = max(8, math.ceil(size / BUCKET_BYTES))
-        self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).withColumn("_slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.slices))).repartition(self.buckets, "_slice")
+        kept = [F.struct(*(F.col(quoted(c)) for c in carry)).alias("row")] if carry else []
+        own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *kept)
+        self.docs = own.withColumn("in", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.slices))).repartition(self.buckets, "in")
 
     def ask(self, f: Callable, answers: DataFrame | None = None) -> DataFrame:
         """f(table, answers table or None, buckets) yields (kind, names, more or None) for its slice."""
@@ -92,8 +95,8 @@ class Sliced:
 
     def _by_slice(self, f, answers, schema):
         if answers is None:
-            return self.docs.groupBy("_slice").applyInArrow(lambda key, table: f(key, table), schema)
-        return self.docs.groupBy("_slice").cogroup(answers.groupBy("slice")).applyInArrow(lambda key, table, said: f(key, table, said), schema)
+            return self.docs.groupBy("in").applyInArrow(lambda key, table: f(key, table), schema)
+        return self.docs.groupBy("in").cogroup(answers.groupBy("slice")).applyInArrow(lambda key, table, said: f(key, table, said), schema)
 
 
 def packed(slice_: int, kind: int, names: np.ndarray, more: np.ndarray | None, buckets: int) -> list[dict]:

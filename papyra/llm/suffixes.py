@@ -1,19 +1,23 @@
 """Repeated byte strings by refining buckets of suffixes, over the whole corpus.
 
-As in bucket-pointer refinement, suffixes start in buckets of equal q-grams, and
-a bucket is refined by the bucket identifiers of later offsets: the bucket of 16
-bytes at i is the pair of the 8-byte buckets at i and i + 8, and so on to 64, to
-Q = 101 (offset 37) and to LENGTH = 200 bytes (offset 99), each level reusing the
-identifiers of the one before. Only buckets with more than one member go on.
+Bucket-pointer refinement: suffixes start in buckets of equal Q-grams; each level
+sorts the members of a bucket, drops buckets with one member, and splits the
+others by the identifiers of the buckets at other offsets, until a bucket stands
+for whole strings of LENGTH bytes. A new identifier is made of the parent's
+(itself refined by the levels before) and of the Q-gram buckets at an earlier and
+at a later offset.
 
 Two things keep what is sorted small. The first buckets hold only suffixes at
-*anchors*: of every 100 consecutive positions the one with the least Q-bucket
-(leftmost on ties). A 200-byte window holds exactly 100 Q-grams, so equal windows
-have their anchor at the same place. And the windows of one anchor (a *run* of
-consecutive starts) are first compared as one string: where all runs of a
-repeated Q-bucket are equal, nothing more is asked. Else the runs are compared
-one by one, and only runs that stay alone, and one of each that don't, list the
-200-byte bucket of each start.
+*anchors*: of every SPAN consecutive positions the one with the least Q-bucket
+(leftmost on ties). A window of LENGTH bytes holds exactly SPAN Q-grams, so equal
+windows have their anchor at the same place. And the windows of one anchor (a
+*run* of consecutive starts) are one member as long as they can be: at each level
+a bucket's members are compared as whole strings, equal ones are settled at once,
+and only where a bucket holds unlike strings do its members go on, split by the
+distance of their starts to the anchor (WIDTHS starts a member). Starts whose
+distances lie in the same slot share more bytes than the parent did, from before
+the parent's to after them; these are what the refined bucket is of. At the last
+level a member is one window.
 
 Defined cases: null text is empty; fewer than 200 bytes lose nothing; repeated
 rows and repeats in one document count as other places; other columns are
@@ -29,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from papyra.llm.flat import U, covered, lengths_of, member, mix, pair, texts_of
-from papyra.llm.slices import Sliced, groups, once, shared, told
+from papyra.llm.flat import U, lengths_of, mix, pair, texts_of
+from papyra.llm.rows import text_struct
+from papyra.llm.slices import Sliced, told
 
 LENGTH = 200
 Q = 101
@@ -82,99 +87,129 @@ class _Suffixes:
     def windows(self, start: np.ndarray) -> np.ndarray:
         return pair(self.grams[start], self.grams[start + (LENGTH - Q)])
 
-    def whole(self) -> np.ndarray:
-        """The name of each run's string, from its first start to LENGTH bytes after its last."""
-        return pair(self.windows(self.lo), self.windows(self.hi) + (self.hi - self.lo).astype(np.uint64))
 
-    def starts(self, which: np.ndarray) -> np.ndarray:
-        lo, n = self.lo[which], self.hi[which] - self.lo[which] + 1
-        return np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+#: Starts per node at each level of refinement: a node is split into nodes of the next width.
+WIDTHS = (SPAN, 20, 4, 1)
+GONE, SETTLED, LEAD, MIXED = (U(k) for k in range(4))
 
 
-SETTLED, MIXED = U(0), U(1)
+class _Nodes:
+    """Members of buckets at one level: starts lo..hi (of one run) whose distance to their anchor lies in one slot of the level."""
 
+    def __init__(self, x: _Suffixes, level: int, lo, hi, at, slot, bucket):
+        self.x, self.level, self.lo, self.hi, self.at, self.slot, self.bucket = x, level, lo, hi, at, slot, bucket
 
-def _ask_buckets(table, said):
-    x = _Suffixes(table)
-    if len(x.lo):
-        names, whole = x.grams[x.at] | U(1), x.whole() | U(1)
-        order, start, group = groups(names)
-        n = np.diff(np.append(start, len(order)))
-        same = np.minimum.reduceat(whole[order], start) == np.maximum.reduceat(whole[order], start)
-        yield 0, names[order[start]] ^ (n == 1).astype(np.uint64), np.where(same, whole[order[start]], U(0))
+    @classmethod
+    def first(cls, x: _Suffixes) -> _Nodes:
+        """The initial buckets: equal Q-grams at the anchor, which all windows of the run hold."""
+        return cls(x, 0, x.lo, x.hi, x.at, np.zeros(len(x.lo), np.int64), x.grams[x.at] if len(x.lo) else np.zeros(0, np.uint64))
+
+    def whole(self) -> np.ndarray:
+        """The name of each member's string, from its first start to LENGTH bytes after its last."""
+        return pair(self.x.windows(self.lo), self.x.windows(self.hi) + (self.hi - self.lo).astype(np.uint64))
+
+    def keys(self) -> np.ndarray:
+        """What answers about a member are said of."""
+        return pair(self.bucket, self.whole()) if len(self.lo) else self.bucket
+
+    def pick(self, which: np.ndarray) -> _Nodes:
+        return _Nodes(self.x, self.level, *(v[which] for v in (self.lo, self.hi, self.at, self.slot, self.bucket)))
+
+    def refined(self) -> _Nodes:
+        """The members of the next level, in buckets named by their parent's bucket and the buckets of an earlier and a later offset.
+
+        The starts at distance t to the anchor, first <= t <= last, all hold the
+        bytes from at - first to at - last + LENGTH: the Q-grams at both ends of
+        these extend the parent's bytes to the left and to the right.
+        """
+        new = WIDTHS[self.level + 1]
+        far, near = self.at - self.lo, self.at - self.hi
+        slots = far // new - near // new + 1
+        k = np.repeat(np.arange(len(self.lo)), slots)
+        slot = near[k] // new + np.arange(len(k)) - np.repeat(np.cumsum(slots) - slots, slots)
+        at = self.at[k]
+        lo, hi = np.maximum(self.lo[k], at - (slot + 1) * new + 1), np.minimum(self.hi[k], at - slot * new)
+        least, most = slot * new, np.minimum((slot + 1) * new, SPAN) - 1
+        grams = pair(self.x.grams[at - least], self.x.grams[at - most + LENGTH - Q])
+        bucket = pair(self.bucket[k], grams + slot.astype(np.uint64))
+        return _Nodes(self.x, self.level + 1, lo, hi, at, slot, bucket)
+
+
+def _ask_level(level: int):
+    """Asks about the members that are still open after the levels before."""
+
+    def ask(table, said):
+        if level and not (told(said, level - 1)[1] >= LEAD).any():
+            return
+        nodes = _open(_Suffixes(table), said, level)[0]
+        if len(nodes.lo):
+            whole = nodes.whole() | U(1)
+            _, first, n = np.unique(nodes.keys(), return_index=True, return_counts=True)
+            yield level, nodes.bucket[first], whole[first] ^ (n == 1).astype(np.uint64)
 
+    return ask
 
-def _buckets(kind, names, who, more):
-    """Repeated buckets: settled if all their runs are one string, else mixed."""
-    order, start, group = groups(names | U(1))
+
+def _refine(kind, names, who, more):
+    """Sorts the members of each bucket by their whole strings.
+
+    A bucket with one member holds nothing repeated: it isn't answered and goes.
+    Members whose whole string another one has are settled: all their windows
+    repeat. Where a bucket holds several strings, it is refined further, with
+    every lone string and, in the least slice that has it, one of each repeated.
+    """
+    whole = more | U(1)
+    order = np.lexsort((who, whole, names))
     if not len(order):
         return order, names, None
-    n = np.diff(np.append(start, len(order)))
-    many = (n > 1) | (np.add.reduceat((names[order] & U(1)).astype(np.int64), start) > 0)
-    low, high = np.minimum.reduceat(more[order], start), np.maximum.reduceat(more[order], start)
-    one = (low == high) & (low != 0)
-    keep = many[group]
-    at = order[keep]
-    return at, names[at] | U(1), np.where(one, SETTLED, MIXED)[group][keep]
-
-
-def _state(x: _Suffixes, said):
-    names, state = told(said, 0)
-    mine = x.grams[x.at] | U(1)
-    if not len(names) or not len(mine):
-        return np.zeros(len(mine), bool), np.zeros(len(mine), bool)
-    k = np.minimum(np.searchsorted(names, mine), len(names) - 1)
-    there = names[k] == mine
-    return there & (state[k] == SETTLED), there & (state[k] == MIXED)
-
-
-def _ask_runs(table, said):
-    x = _Suffixes(table)
-    mixed = _state(x, said)[1]
-    if mixed.any():
-        yield 1, once(x.whole()[mixed]), None
-
-
-def _repeated_runs(kind, names, who, more):
-    """Runs that occur more than once; the first slice that has one is to list its windows."""
-    at, say, _ = shared(kind, names, who, more)
-    order, start, _ = groups(say)
-    lead = np.zeros(len(at), np.uint64)
-    if len(start):
-        least = np.minimum.reduceat(who[at][order], start)
-        lead[order] = np.repeat(least, np.diff(np.append(start, len(order)))) == who[at][order]
-    return at, say, lead
-
-
-def _runs_told(x: _Suffixes, said):
-    """Runs found repeated, and runs whose windows are to be listed."""
-    settled, mixed = _state(x, said)
-    names, lead = told(said, 1)
-    mine = x.whole() | U(1) if mixed.any() else np.zeros(len(x.lo), np.uint64)
-    there = mixed & member(mine, names)
-    k = np.minimum(np.searchsorted(names, mine), max(len(names) - 1, 0))
-    leads = there & (lead[k] == 1) if len(names) else there
-    return settled | there, (mixed & ~there) | leads, mixed & ~there
-
-
-def _ask_windows(table, said):
-    x = _Suffixes(table)
-    listed = _runs_told(x, said)[1]
-    if listed.any():
-        yield 2, once(x.windows(x.starts(np.flatnonzero(listed)))), None
+    names, whole, who = names[order], whole[order], who[order]
+    several = more[order] & U(1)
+    new_bucket = np.concatenate([[True], names[1:] != names[:-1]])
+    new = new_bucket | np.concatenate([[True], whole[1:] != whole[:-1]])
+    start, group = np.flatnonzero(new), np.cumsum(new) - 1
+    repeated = (np.diff(np.append(start, len(order))) > 1) | (np.maximum.reduceat(several, start) > 0)
+    strings = np.bincount(np.cumsum(new_bucket)[start] - 1)[np.cumsum(new_bucket)[start] - 1]
+    lead = np.zeros(len(order), bool)
+    lead[start] = True
+    mixed = (strings > 1)[group]
+    state = np.where(repeated[group], np.where(mixed & lead, LEAD, SETTLED), np.where(mixed, MIXED, GONE))
+    keep = state != GONE
+    return order[keep], pair(names, whole)[keep], state[keep]
+
+
+def _open(x: _Suffixes, said, level: int) -> tuple[_Nodes, list[_Nodes]]:
+    """The members that a level sorts, and those that the levels before have settled."""
+    nodes, settled = _Nodes.first(x), []
+    for k in range(level):
+        keys, state = told(said, k)
+        mine = pair(nodes.bucket, nodes.whole() | U(1)) if len(nodes.lo) else nodes.bucket
+        at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+        mine = np.where(keys[at] == mine, state[at], GONE) if len(keys) else np.full(len(mine), GONE)
+        settled.append(nodes.pick((mine == SETTLED) | (mine == LEAD)))
+        on = mine >= LEAD
+        if k + 1 == len(WIDTHS):
+            break
+        # A string that stands several times in this slice goes on once.
+        on[np.flatnonzero(on)] = _first_of(nodes.pick(on).keys())
+        nodes = nodes.pick(on).refined()
+    return nodes, settled
+
+
+def _first_of(keys: np.ndarray) -> np.ndarray:
+    mask = np.zeros(len(keys), bool)
+    mask[np.unique(keys, return_index=True)[1]] = True
+    return mask
 
 
 def _gone(x: _Suffixes, said) -> np.ndarray:
-    """Mask of the bytes to remove."""
-    repeated, _, alone = _runs_told(x, said)
-    if not repeated.any() and not alone.any():
+    """Mask of the bytes to remove: those of all windows of settled members."""
+    if said is None or not len(said):
         return np.zeros(len(x.data), bool)
-    one = x.starts(np.flatnonzero(alone))
-    one = one[member(x.windows(one) | U(1), told(said, 2)[0])]
     d = np.zeros(len(x.data) + 1, np.int64)
-    np.add.at(d, x.lo[repeated], 1)
-    np.add.at(d, x.hi[repeated] + LENGTH, -1)
-    return (np.cumsum(d[:-1]) > 0) | covered(len(x.data), one, LENGTH)
+    for nodes in _open(x, said, len(WIDTHS))[1]:
+        np.add.at(d, nodes.lo, 1)
+        np.add.at(d, nodes.hi + LENGTH, -1)
+    return np.cumsum(d[:-1]) > 0
 
 
 def _kept(x: _Suffixes, gone: np.ndarray, i: int) -> bytes:
@@ -202,18 +237,22 @@ def _texts(names: list[str]):
         cut = lengths_of(gone, x.off) > 0
         # A null text stays null.
         text = [_kept(x, gone, i).decode("utf-8", "replace") if c else t for i, (c, t) in enumerate(zip(cut, table.column("text").to_pylist()))]
-        columns = {c: table.column(c) for c in names} | {"text": pa.array(text, pa.string())}
+        row = table.column("row").combine_chunks()
+        row = row if isinstance(row, pa.StructArray) else pa.concat_arrays(row.chunks)
+        columns = dict(zip((f.name for f in row.type), row.flatten())) | {"text": pa.array(text, pa.string())}
         if "n_chars" in names:
-            columns["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(text, table.column("n_chars").to_pylist())], table.schema.field("n_chars").type)
-        return pa.table({c: columns[c] for c in names})
+            columns["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(text, columns["n_chars"].to_pylist())], columns["n_chars"].type)
+        return pa.table({"row": pa.StructArray.from_arrays([columns[c] for c in names], names)})
 
     return run
 
 
 def _answered(c: Sliced) -> DataFrame:
-    said = c.answer(c.ask(_ask_buckets), _buckets)
-    said = said.union(c.answer(c.ask(_ask_runs, said), _repeated_runs))
-    return said.union(c.answer(c.ask(_ask_windows, said), shared))
+    """One question and answer a level; each level asks by what all before it have answered."""
+    said = c.answer(c.ask(_ask_level(0)), _refine)
+    for level in range(1, len(WIDTHS)):
+        said = said.union(c.answer(c.ask(_ask_level(level), said), _refine))
+    return said
 
 
 def suffix_digests(docs: DataFrame) -> DataFrame:
@@ -224,6 +263,5 @@ def suffix_digests(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated bytes removed from their texts; n_chars, where there is one, follows."""
-    c = Sliced(docs, carry=tuple(x for x in docs.columns if x not in ("doc_id", "text")))
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"doc_id": "bigint", "text": "string"}
-    return c.finish(_texts(docs.columns), ", ".join(f"`{x}` {types[x]}" for x in docs.columns), _answered(c))
+    c = Sliced(docs, carry=tuple(x for x in docs.columns if x != "text"))
+    return c.finish(_texts(docs.columns), f"row {text_struct(docs)}", _answered(c)).select("row.*")

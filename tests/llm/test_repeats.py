@@ -1,10 +1,12 @@
 """Word windows and byte strings that repeat, against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from papyra.llm import slices
 from papyra.llm.substrings import COVER, PERIOD, WINDOW, substring_dedup
@@ -76,5 +78,31 @@ def test_stage_keeps_columns(docs, rows):
     assert (4, "one two three", "x", 13) in got and (2, None, "x", None) in got and (12, "", "x", 0) in got and len(out.collect()) == len(rows)
 
 
+def knots():
+    """Texts that share a core in unlike surroundings, so that buckets have to be refined level by level."""
+    r = random.Random(5)
+    core = "".join(r.choice("abcdefgh") for _ in range(330))
+    rows = []
+    for k in range(60):
+        cut, to = r.randrange(0, 130), r.randrange(200, 331)
+        rows.append((k, "".join(r.choice("xyz") for _ in range(r.randrange(0, 60))) + core[cut:to] + "".join(r.choice("uvw") for _ in range(r.randrange(0, 60))), "a"))
+    return rows + [(100, core, "a"), (101, core, "a"), (102, core[:199], "a"), (103, core[65:264] + "é" + core[66:270], "a"), (104, "q" + core[100:300], "a"), (105, "r" + core[100:300], "a")]
+
+
+def test_refinement(make):
+    rows = knots()
+    want = brute_bytes(rows)
+    assert len({w[2] for w in want}) > 20
+    got = suffix_digests(make(rows)).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_names_may_clash(docs):
+    other = docs.withColumn("_slice", F.lit("x")).withColumn("in", F.lit("y")).withColumn("a.b `c", F.lit("z"))
+    out = without_repeats(other)
+    assert out.columns == other.columns
+    assert {(r["_slice"], r["in"], r["a.b `c"]) for r in out.collect()} == {("x", "y", "z")}
+
+
 def test_empty(nothing):
     assert substring_dedup(nothing).collect() == [] and suffix_digests(nothing).collect() == [] and without_repeats(nothing).collect() == []
