@@ -120,5 +120,19 @@ SELECT p.page_id, p.url, p.fetched_on, h.n IS NOT NULL AS blocked, CAST(coalesce
 """
 
 
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(hex(b[i:i + 199])) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d)),
+m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM w JOIN m USING (h)),
+g AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM s),
+u AS (SELECT r, g, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY r, g),
+k AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM u GROUP BY r)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN k.r IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(1, len(a) + 2), lambda j: hex(b[CASE WHEN j = 1 THEN 1 ELSE z[j - 1] END:CASE WHEN j > len(a) THEN octet_length(b) ELSE a[j] - 1 END])), '')) END) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op3_url_filter": _op3_sql()}
+    return {"op1_substring_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op3_url_filter": _op3_sql(), "op4_suffix_dedup": OP4_SQL}
