@@ -20,7 +20,8 @@ with probability (1 - 0.8^5)^32 < 4e-6.
 
 Defined cases: texts without words (null, empty, blank) are a class of their own
 each; repeated rows are copies; a null doc_id counts as larger than any other and
-the class of null ids alone is null; other columns are ignored.
+the class of null ids alone is null; other columns, whatever their names, are
+ignored, or kept where documents are returned.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.flat import ODD, U, chains, mix, pair, release, texts_of, word_names, words_of
+from papyra.llm.rows import whole
 from papyra.operators.components import connected_components, least_labels
 from papyra.plans.durable import checkpointed, one_worker_pool
 
@@ -343,7 +345,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, counts: bool = False)
 
 def without_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One document of each class, the least doc_id, with all columns."""
-    kept = near_copies(docs, similar).where("kept").select(F.col("h").alias("_h"), F.col("doc_id").alias("_d")).distinct()
-    keyed = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).repartition("_h")
-    both = keyed.join(kept, "_h").where(F.col("doc_id").eqNullSafe(F.col("_d")))
-    return both.dropDuplicates(["_h", "doc_id"]).select(*docs.columns)
+    kept = near_copies(docs, similar).where("kept").select("h", F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h"), whole(docs)).repartition("h")
+    both = rows.withColumn("own", F.col("row.doc_id").cast("long")).join(kept, "h").where(F.col("own").eqNullSafe(F.col("id")))
+    return both.dropDuplicates(["h", "own"]).select("row.*")

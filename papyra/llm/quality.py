@@ -1,18 +1,22 @@
 """A byte-level convolutional network for text quality, trained and run in numpy.
 
 A text's UTF-8 bytes are cut into overlapping chunks of `CHUNK` bytes that cover
-all of it. Bytes are embedded, learned filters of `WIDTH` bytes slide over each
-chunk, and each filter's largest response in the chunk is kept. The mean and the
-largest of these over the chunks go through one hidden layer into one
-probability. Nothing but the text is an input.
+all of it. Bytes are embedded, learned filters of `WIDTH` bytes go over each chunk
+in steps of `STRIDE` bytes, and each filter's largest response in the chunk is
+kept. The mean and the largest of these over all chunks of the text go through one
+hidden layer into one probability, in training as in scoring. Nothing but the text
+is an input.
 
-Training uses at most `SAMPLE_ROWS` labelled texts of at most `SAMPLE_CHARS`
-characters each (the first by a hash of doc_id); scoring reads every byte.
+Training uses a sample of at most `SAMPLE_ROWS` labelled documents: the first by a
+hash of doc_id and text of those that have both a label and a text, each whole,
+whatever its length. Should they hold more than `SAMPLE_BYTES` in all, those that
+no longer fit are left out. Scoring reads every byte.
 
 Defined cases: null or empty text is one chunk of padding and gets that score; a
 null label is no label; with no labels of both kinds every score is the share of
 label 1 (0.5 without labels); repeated rows are scored alike; a null doc_id isn't
-held out; other columns are ignored.
+held out; a null text never trains; other columns, whatever their names, are
+ignored, or kept where documents are returned.
 """
 
 from __future__ import annotations
@@ -23,14 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.flat import release, texts_of
+from papyra.llm.rows import quoted, text_struct
 from papyra.plans.durable import one_worker_pool
 
 CHUNK, STEP = 1024, 768
 STRIDE, GROUPS, DIMS, FILTERS, HIDDEN = 4, 3, 4, 32, 16
 WIDTH = STRIDE * GROUPS
 PLACES = CHUNK // STRIDE - GROUPS + 1
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 65_536
-STEPS, BATCH, CHUNKS_SEEN = 1500, 48, 4
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 64 << 20
+STEPS, BATCH = 1500, 48
+#: Chunks whose responses are computed in one go.
+SLAB = 128
 THRESHOLD = 0.3
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -83,7 +90,8 @@ class ByteConvolution:
 
     def gradients(self, x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
-        best, at = self.pooled(x, size)
+        slabs = [self.pooled(x[a : a + SLAB], size[a : a + SLAB]) for a in range(0, len(x), SLAB)]
+        best, at = (np.concatenate(parts) for parts in zip(*slabs))
         logit, h, both = self.combined(best, first)
         d = ((1 / (1 + np.exp(-logit))) - label).astype(np.float32) / len(label)
         g = {"out": h.T @ d, "out0": d.sum(keepdims=True)}
@@ -118,7 +126,7 @@ class ByteConvolution:
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         for t in range(1, steps + 1):
             who = r.integers(0, len(y), BATCH)
-            pick = [first[i] + (np.arange(n) if (n := first[i + 1] - first[i]) <= CHUNKS_SEEN else r.choice(n, CHUNKS_SEEN, False)) for i in who]
+            pick = [np.arange(first[i], first[i + 1]) for i in who]
             c = np.concatenate(pick)
             g = self.gradients(bytes_at(data, start[c], size[c]), size[c], np.concatenate([[0], np.cumsum([len(q) for q in pick])]), y[who])
             rate = 0.004 * min(1, t / 50) * (1 - 0.9 * t / steps)
@@ -136,7 +144,7 @@ class ByteConvolution:
         if self.constant is not None:
             return np.full(len(off) - 1, self.constant)
         start, size, first = chunks_of(data, off)
-        best = [self.pooled(bytes_at(data, start[a : a + 128], size[a : a + 128]), size[a : a + 128])[0] for a in range(0, len(start), 128)]
+        best = [self.pooled(bytes_at(data, start[a : a + SLAB], size[a : a + SLAB]), size[a : a + SLAB])[0] for a in range(0, len(start), SLAB)]
         if not best:
             return np.zeros(0)
         return 1 / (1 + np.exp(-self.combined(np.concatenate(best), first)[0].astype(np.float64)))
@@ -146,37 +154,49 @@ def remainder(modulus: int, key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % modulus
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteConvolution:
-    """Fits on a bounded sample of the labelled rows outside the held-out fold."""
+def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> ByteConvolution:
+    """Fits on a bounded sample of the labelled documents outside the held-out fold."""
     known = labels.where(F.col("quality").isNotNull() & (remainder(5) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # The ids are drawn from the labels alone, so only the texts of at most sample_rows ids are ever looked at.
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "doc_id")
-    rows = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_rows).select("text", "quality").collect()
-    return ByteConvolution().fit([r["text"] for r in rows], [int(r["quality"]) for r in rows])
-
-
-def score_quality(docs: DataFrame, model: ByteConvolution, name: str = "score") -> DataFrame:
-    """The rows of docs with their score in a column of that name, in place of any such column."""
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("size"), "text")
+    drawn = texts.drop("text").join(known, "doc_id").dropDuplicates(["h"]).orderBy("h").limit(sample_rows).collect()
+    chosen, left = [], sample_bytes
+    for r in drawn:
+        if r["size"] <= left:
+            chosen.append((r["h"], int(r["quality"])))
+            left -= r["size"]
+    if not chosen:
+        return ByteConvolution().fit([], [])
+    # At most sample_rows hashes are sent, and at most sample_bytes of text come back.
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "h long, quality int"))
+    rows = texts.join(wanted, "h").groupBy("h").agg(F.first("text").alias("text"), F.first("quality").alias("quality")).orderBy("h").collect()
+    return ByteConvolution().fit([r["text"] for r in rows], [r["quality"] for r in rows])
+
+
+def _scored(docs: DataFrame, model: ByteConvolution) -> DataFrame:
+    """row (a struct of the columns of docs), score."""
     one_worker_pool(docs.sparkSession)
-    fields = [f for f in docs.schema.fields if f.name != name]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double"
-    keep = [f.name for f in fields]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(model.scores(b.column(b.schema.get_field_index("text"))))], names=[*keep, name])
+            row = b.column(0)
+            yield pa.RecordBatch.from_arrays([row, pa.array(model.scores(row.field("text")))], names=["row", "score"])
             release()
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    text = F.col("text").cast("string")
+    return docs.select(F.struct(*(text.alias(c) if c == "text" else F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row")).mapInArrow(run, f"row {text_struct(docs)}, score double")
+
+
+def score_quality(docs: DataFrame, model: ByteConvolution, name: str = "score") -> DataFrame:
+    """The rows of docs with their score in a column of that name, in place of any such column."""
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != name]
+    return _scored(docs, model).select(*kept, F.col("score").alias(name))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = score_quality(docs.select("doc_id", "text"), train_quality(docs, labels))
+    scored = _scored(docs.select("doc_id", "text"), train_quality(docs, labels)).select("row.doc_id", "score")
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with all columns."""
-    scored = score_quality(docs, train_quality(docs, labels), "_score")
-    return scored.where(F.col("_score") >= threshold).select(*docs.columns)
+    return _scored(docs, train_quality(docs, labels)).where(F.col("score") >= threshold).select("row.*")

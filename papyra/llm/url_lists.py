@@ -15,7 +15,7 @@ captures salted, as one host may hold a third of all pages.
 Defined cases: a null, empty or hostless URL and a null day match nothing; a null
 scope, value, day or event makes an event void; on one day a removal counts
 after an addition; adding what is active changes nothing; repeated rows each get
-the verdict; an empty list blocks nothing; other columns are kept.
+the verdict; an empty list blocks nothing; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papyra.llm.rows import quoted, whole
+
 FEW_ENTRIES = 100_000
 SALTS = 16
 #: The list of the production runs, in order of date: scope, value, day, event.
@@ -70,19 +72,20 @@ def keys(url: str = "url"):
 
 def filter_urls(captures: DataFrame, events: DataFrame, url: str = "url", day: str = "fetched_on") -> DataFrame:
     """The captures with blocked, n_entries (active entries that match) and entry (the first of them by scope and value)."""
-    spans = intervals(events).select("key", F.col("scope").alias("_s"), F.col("value").alias("_v"), "since", "until")
-    asked = captures.select(F.col(url).alias("_u"), F.col(day).cast("date").alias("_d")).where("_u is not null and _d is not null").distinct()
-    asked = asked.select("_u", "_d", F.explode(keys("_u")).alias("key"))
+    spans = intervals(events).select("key", F.col("scope").alias("s"), F.col("value").alias("v"), "since", "until")
+    rows = captures.select(whole(captures), F.col(quoted(url)).alias("u"), F.col(quoted(day)).cast("date").alias("d"))
+    asked = rows.select("u", "d").where("u is not null and d is not null").distinct()
+    asked = asked.select("u", "d", F.explode(keys("u")).alias("key"))
     on = ["key"]
     # One row more than may be broadcast is enough to know.
     if spans.limit(FEW_ENTRIES + 1).count() <= FEW_ENTRIES:
         spans = F.broadcast(spans)
     else:
         spans = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        asked, on = asked.withColumn("salt", F.pmod(F.hash("_u", "_d"), F.lit(SALTS))), ["key", "salt"]
-    hits = asked.join(spans, on).where("_d >= since and (until is null or _d < until)")
-    said = hits.groupBy("_u", "_d").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_s", "_v")).alias("_e"))
-    out = captures.join(said, (captures[url] == said["_u"]) & (captures[day].cast("date") == said["_d"]), "left")
-    entry = F.concat_ws(":", "_e._s", "_e._v")
-    kept = [c for c in captures.columns if c not in ("blocked", "n_entries", "entry")]
-    return out.select(*(captures[c] for c in kept), F.col("_n").isNotNull().alias("blocked"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_entries"), F.when(F.col("_n").isNotNull(), entry).alias("entry"))
+        asked, on = asked.withColumn("salt", F.pmod(F.hash("u", "d"), F.lit(SALTS))), ["key", "salt"]
+    hits = asked.join(spans, on).where("d >= since and (until is null or d < until)")
+    said = hits.groupBy("u", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "v")).alias("e"))
+    out = rows.join(said, ["u", "d"], "left")
+    kept = [F.col("row")[c].alias(c) for c in captures.columns if c not in ("blocked", "n_entries", "entry")]
+    entry = F.when(F.col("n").isNotNull(), F.concat_ws(":", "e.s", "e.v")).alias("entry")
+    return out.select(*kept, F.col("n").isNotNull().alias("blocked"), F.coalesce("n", F.lit(0)).cast("long").alias("n_entries"), entry)

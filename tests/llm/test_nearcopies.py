@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from papyra.llm import nearcopies
 from papyra.llm.nearcopies import near_copies, signatures, without_copies
@@ -125,6 +126,17 @@ def test_one_of_each_class_stays(docs, rows):
     assert 6 in ids and 7 not in ids and 8 not in ids and {1, 2, 3, 4} <= set(ids) and 18 not in ids
 
 
+def test_names_may_clash(docs):
+    other = docs
+    for c in ("_h", "_d", "h", "id", "own", "row"):
+        other = other.withColumn(c, F.lit("x"))
+    out = without_copies(other)
+    assert out.columns == other.columns
+    got = out.collect()
+    assert {r[c] for r in got for c in ("_h", "_d", "h", "id", "own", "row")} == {"x"}
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted((r["doc_id"] for r in without_copies(docs).collect()), key=str)
+
+
 def test_empty(nothing, docs):
     assert near_copies(nothing).collect() == [] and without_copies(nothing).collect() == []
     assert sorted(r["class_id"] for r in near_copies(docs.where("doc_id in (1, 2, 3)")).collect()) == [1, 2, 3]

@@ -45,6 +45,14 @@ def test_as_of(spark, monkeypatch, few):
         assert r["key"] == "x"
 
 
+def test_long_urls_and_clashing_names(spark):
+    long = "http://" + "a." * 300 + "example.org/" + "b/" * 3000 + "?" + "c" * 10_000
+    names = ["_n", "_e", "_u", "_d", "u", "d", "n", "e", "row", "key", "salt"]
+    captures = spark.createDataFrame([(1, long, dt.date(2024, 2, 1), *["x"] * len(names))], "page_id long, url string, fetched_on date, " + ", ".join(f"{n} string" for n in names))
+    r = filter_urls(captures, spark.createDataFrame(list(LIST), "scope string, value string, day string, event string")).collect()
+    assert [(x["blocked"], x["entry"], x["url"]) for x in r] == [(True, "domain:example.org", long)] and {r[0][n] for n in names} == {"x"}
+
+
 def test_empty(spark):
     captures = spark.createDataFrame([(1, "http://a.b/", DAY)], "page_id long, url string, fetched_on date")
     none = spark.createDataFrame([], "scope string, value string, day string, event string")
