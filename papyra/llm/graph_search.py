@@ -5,16 +5,17 @@ shard a graph is built in numpy: nodes are inserted in batches; a greedy beam
 search from the medoid proposes each node's neighbours, and robust pruning keeps
 the nearest one, drops all that are nearer to it (by ALPHA) than to the node, and
 so on, so edges point in diverse directions; back edges are pruned the same way.
-A graph is stored with its shard, and blocks of queries are searched in every
-shard with a beam of BEAM; searches of a block advance together. The scores of
-what a shard finds are exact cosines in double precision.
+A graph is stored with its shard, and packs of queries are sent to every shard and
+searched there with a beam of BEAM; searches of a pack advance together, by
+EXPANDED nodes of each beam a step. The scores of what a shard finds are exact
+cosines in double precision.
 
 Equal vectors are one node with its smallest ids (as many as a result can hold),
 so ties between copies go to the smallest ids. Cosine is what is searched.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do vectors of another dimension than the query;
-repeated rows with one vec_id count as one; a null vec_id takes no part; fewer candidates than k give
+repeated rows with one vec_id count as one, asked by the vector of least hash; a null vec_id takes no part; fewer candidates than k give
 all of them; other columns are ignored.
 """
 
@@ -28,12 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papyra.llm.flat import release
 from papyra.llm.vectors import cosines, rows_of, unit, usable
 from papyra.plans.durable import checkpointed
 
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4000, 32, 64, 128, 1.2
-QUERIES = 512
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 50_000, 32, 64, 96, 1.2
+#: Queries searched together, and packs of them that one copy of a shard serves.
+QUERIES, PACKS = 512, 64
+#: Nodes that a search expands in one step, and candidates that pruning looks at.
+EXPANDED, PROPOSED = 4, 64
 BATCH = 256
+SLACK = 16
 _schema = "query_id long, vec_id long, score double"
 
 
@@ -52,41 +58,52 @@ class Graph:
             for i in range(n):
                 self.edges[i, : n - 1] = np.delete(np.arange(n), i)
             return self
+        # While the graph grows, nodes may have SLACK edges more, so that few back edges make a node be pruned.
+        self.edges = np.full((n, DEGREE + SLACK), -1, np.int32)
         self.edges[:, : DEGREE // 2] = (np.arange(n)[:, None] + r.integers(1, n, (n, DEGREE // 2))) % n
-        for alpha in (1.0, ALPHA):
-            order = r.permutation(n)
-            for a in range(0, n, BATCH):
-                self._insert(order[a : a + BATCH], alpha)
+        order = r.permutation(n)
+        for a in range(0, n, BATCH):
+            self._insert(order[a : a + BATCH])
+        self.edges = np.concatenate([self._pruned(part, self.edges[part]) for part in np.split(np.arange(n), range(BATCH, n, BATCH))])
         return self
 
-    def _insert(self, new: np.ndarray, alpha: float) -> None:
+    def _insert(self, new: np.ndarray) -> None:
         found, _ = self.search(self.x[new], BUILD_BEAM)
-        self.edges[new] = self._pruned(new, np.concatenate([found, self.edges[new]], 1), alpha)
+        self.edges[new] = -1
+        self.edges[new, :DEGREE] = self._pruned(new, np.concatenate([found, self.edges[new]], 1))
         # Back edges: appended where there is room, pruned where there isn't.
-        src, dst = np.repeat(new, DEGREE), self.edges[new].reshape(-1)
+        src, dst = np.repeat(new, DEGREE), self.edges[new, :DEGREE].reshape(-1)
         src, dst = src[dst >= 0], dst[dst >= 0]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         first = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
         count = np.diff(np.append(first, len(dst)))
-        to = dst[first]
-        width = int(min(count.max(), 4 * DEGREE))
-        place = np.arange(len(dst)) - np.repeat(first, count)
-        extra = np.full((len(to), width), -1, np.int64)
-        fits = place < width
-        extra[np.repeat(np.arange(len(to)), count)[fits], place[fits]] = src[fits]
-        for a in range(0, len(to), BATCH):
-            part = slice(a, a + BATCH)
-            self.edges[to[part]] = self._pruned(to[part], np.concatenate([self.edges[to[part]], extra[part]], 1), alpha)
-
-    def _pruned(self, nodes: np.ndarray, cand: np.ndarray, alpha: float) -> np.ndarray:
+        to, place = dst[first], np.arange(len(dst)) - np.repeat(first, count)
+        own = self.edges[to]
+        own.sort(1)
+        own = own[:, ::-1]
+        room = (own < 0).sum(1)
+        fits = count <= room
+        put = np.repeat(fits, count)
+        own[np.repeat(np.arange(len(to)), count)[put], (np.repeat(own.shape[1] - room, count) + place)[put]] = src[put]
+        self.edges[to[fits]] = own[fits]
+        for a in range(0, int((~fits).sum()), BATCH):
+            full = np.flatnonzero(~fits)[a : a + BATCH]
+            extra = np.full((len(full), int(count[full].max())), -1, np.int64)
+            k = np.arange(int(count[full].sum())) - np.repeat(np.cumsum(count[full]) - count[full], count[full])
+            extra[np.repeat(np.arange(len(full)), count[full]), k] = src[np.repeat(first[full], count[full]) + k]
+            self.edges[to[full], DEGREE:] = -1
+            self.edges[to[full], :DEGREE] = self._pruned(to[full], np.concatenate([own[full], extra], 1))
+
+    def _pruned(self, nodes: np.ndarray, cand: np.ndarray) -> np.ndarray:
         """Robust pruning of each node's candidates (-1: none)."""
         cand = np.sort(np.where(cand == nodes[:, None], -1, cand), 1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         x = self.x[np.maximum(cand, 0)]
         far = np.where(cand < 0, np.inf, 2 - 2 * np.einsum("bd,bcd->bc", self.x[nodes], x))
-        order = np.argsort(far, 1, kind="stable")
-        cand, far, x = np.take_along_axis(cand, order, 1), np.take_along_axis(far, order, 1), np.take_along_axis(x, order[:, :, None], 1)
+        order = np.argsort(far, 1, kind="stable")[:, :PROPOSED]
+        cand, far = np.take_along_axis(cand, order, 1), np.take_along_axis(far, order, 1)
+        x = self.x[np.maximum(cand, 0)]
         between = 2 - 2 * (x @ x.transpose(0, 2, 1))
         alive, rows = np.isfinite(far), np.arange(len(nodes))
         out = np.full((len(nodes), DEGREE), -1, np.int32)
@@ -97,7 +114,7 @@ class Graph:
             best = alive.argmax(1)
             out[some, k] = cand[rows, best][some]
             alive[rows, best] = False
-            alive &= ~(alpha * alpha * between[rows, best] <= far)
+            alive &= ~(ALPHA * ALPHA * between[rows, best] <= far)
         return out
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,23 +127,34 @@ class Graph:
         open_ = np.zeros((m, beam), bool)
         seen = np.zeros((m, n), bool)
         ids[:, 0], dots[:, 0], open_[:, 0], seen[:, self.entry] = self.entry, q @ self.x[self.entry], True, True
-        live = np.arange(m)
+        live, self.scored = np.arange(m), m
         while len(live):
-            at = open_[live].argmax(1)
-            node = ids[live, at]
-            open_[live, at] = False
-            near = self.edges[node].astype(np.int64)
-            new = (near >= 0) & ~seen[live[:, None], near]
-            seen[live[:, None], np.where(new, near, node[:, None])] = True
-            d = np.where(new, np.einsum("md,mkd->mk", q[live], self.x[near]), -np.inf)
+            k = min(EXPANDED, beam)
+            rank = np.where(open_[live], dots[live], -np.inf)
+            at = np.argpartition(-rank, k - 1, 1)[:, :k] if k < beam else np.broadcast_to(np.arange(beam), (len(live), beam))
+            go = np.isfinite(np.take_along_axis(rank, at, 1))
+            node = np.where(go, np.take_along_axis(ids[live], at, 1), -1)
+            open_[live[:, None], at] = False
+            near = np.where(node[:, :, None] >= 0, self.edges[np.maximum(node, 0)], -1).reshape(len(live), -1)
+            # Neighbours of several nodes are scored once.
+            near.sort(1)
+            new = near >= 0
+            new[:, 1:] &= near[:, 1:] != near[:, :-1]
+            new &= ~seen[live[:, None], near]
+            row, col = np.nonzero(new)
+            to = near[row, col]
+            self.scored += len(to)
+            seen[live[row], to] = True
+            d = np.full(near.shape, -np.inf, np.float32)
+            d[row, col] = np.einsum("md,md->m", q[live[row]], self.x[to])
             all_d = np.concatenate([dots[live], d], 1)
-            order = np.argsort(-all_d, 1, kind="stable")[:, :beam]
-            pick = lambda x, y, o=order: np.take_along_axis(np.concatenate([x, y], 1), o, 1)
-            dots[live] = np.take_along_axis(all_d, order, 1)
-            ids[live] = np.where(np.isfinite(dots[live]), pick(ids[live], near), -1)
-            open_[live] = pick(open_[live], new) & (ids[live] >= 0)
+            best = np.argpartition(-all_d, beam - 1, 1)[:, :beam] if all_d.shape[1] > beam else np.broadcast_to(np.arange(all_d.shape[1]), all_d.shape)
+            dots[live] = np.take_along_axis(all_d, best, 1)
+            ids[live] = np.where(np.isfinite(dots[live]), np.take_along_axis(np.concatenate([ids[live], near], 1), best, 1), -1)
+            open_[live] = np.take_along_axis(np.concatenate([open_[live], new], 1), best, 1) & (ids[live] >= 0)
             live = live[open_[live].any(1)]
-        return ids, dots
+        order = np.lexsort((ids, -dots), axis=1)
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(dots, order, 1)
 
 
 def _build(table: pa.Table) -> pa.Table:
@@ -140,63 +168,69 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def _search(k: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(key, packs: pa.Table, index: pa.Table) -> pa.Table:
         q, c, s = [], [], []
-        for r in table.to_pylist():
+        for r in index.to_pylist():
             x = np.frombuffer(r["x"]).reshape(-1, r["d"])
             g = Graph(unit(x), np.frombuffer(r["edges"], np.int32).reshape(-1, DEGREE))
             sizes, ids = np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["ids"], np.int64)
             first = np.cumsum(sizes) - sizes
-            own = [(i, v) for i, v in zip(r["query_ids"], r["queries"]) if len(v) == r["d"]]
-            if not own:
-                continue
-            who, v = np.array([o[0] for o in own], np.int64), np.array([o[1] for o in own])
-            found, _ = g.search(unit(v), BEAM)
-            # k + 1 nodes suffice: a query's own id can only take one place.
-            row, col = np.nonzero(found[:, : 4 * (k + 1)] >= 0)
-            node = found[row, col]
-            score = cosines(v[row], x[node])
-            n = sizes[node]
-            q.append(np.repeat(who[row], n))
-            s.append(np.repeat(score, n))
-            c.append(ids[np.repeat(first[node], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)])
-        if not q:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, c, s = np.concatenate(q), np.concatenate(c), np.concatenate(s)
-        keep = q != c
-        q, c, s = q[keep], c[keep], s[keep]
-        order = np.lexsort((c, -s, q))
-        q, c, s = q[order], c[order], s[order]
-        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        return pa.table({"query_id": pa.array(q[rank < k]), "vec_id": pa.array(c[rank < k]), "score": pa.array(s[rank < k])})
+            for pack in packs.to_batches(1):
+                pack = pack.to_pylist()[0] if pack.num_rows else {"query_ids": [], "queries": []}
+                own = [(i, v) for i, v in zip(pack["query_ids"], pack["queries"]) if len(v) == r["d"]]
+                if not own:
+                    continue
+                who, v = np.array([o[0] for o in own], np.int64), np.array([o[1] for o in own])
+                found, _ = g.search(unit(v), BEAM)
+                # k + 1 nodes suffice: a query's own id can only take one place.
+                row, col = np.nonzero(found[:, : 4 * (k + 1)] >= 0)
+                node = found[row, col]
+                score = cosines(v[row], x[node])
+                n = sizes[node]
+                some = np.repeat(who[row], n), ids[np.repeat(first[node], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)], np.repeat(score, n)
+                for all_, best in zip((q, c, s), _nearest(*some, k)):
+                    all_.append(best)
+            release()
+        join = lambda parts, t: pa.array(np.concatenate([np.zeros(0, t), *parts]))
+        return pa.table({"query_id": join(q, np.int64), "vec_id": join(c, np.int64), "score": join(s, np.float64)})
 
     return run
 
 
-def build_index(vectors: DataFrame, keep: int) -> DataFrame:
-    """One row for each shard: its vectors, graph, and the keep smallest ids of each vector."""
+def _nearest(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates c by score s of each query q, ties to the smaller id, none of them the query."""
+    keep = q != c
+    q, c, s = q[keep], c[keep], s[keep]
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return q[rank < k], c[rank < k], s[rank < k]
+
+
+def build_index(vectors: DataFrame, keep: int) -> tuple[DataFrame, int]:
+    """One row for each shard and dimension: its vectors, graph, and the keep smallest ids of each vector; and the number of shards."""
     rows = usable(vectors).where("vec_id is not null").dropDuplicates(["vec_id", "node"])
     # Windows with a limit are cut on the map side: a vector that many rows hold sends a few.
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("n") <= keep)
     nodes = checkpointed(few.groupBy("node").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     shards = max(1, math.ceil(nodes.count() / SHARD))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(17)), F.lit(shards)))
-    return checkpointed(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_build, "shard long, d int, x binary, edges binary, sizes binary, ids binary"))
+    return checkpointed(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_build, "shard long, d int, x binary, edges binary, sizes binary, ids binary")), shards
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Per query its k nearest found: query_id, rank (from 1), vec_id, score."""
-    index = build_index(vectors, k + 1)
-    asked = usable(queries).where("vec_id is not null").dropDuplicates(["vec_id"])
+    index, shards = build_index(vectors, k + 1)
+    asked = usable(queries).where("vec_id is not null").groupBy("vec_id").agg(F.min_by("v", "node").alias("v"))
     blocks = max(1, math.ceil(asked.count() / QUERIES))
     packs = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("p"))
-    packs = packs.select("block", F.col("p.vec_id").alias("query_ids"), F.col("p.v").alias("queries"))
-    shards = index.select("shard").distinct()
-    # The stated queries, in blocks, meet every shard: one row for each block and shard.
-    pairs = packs.select("block").crossJoin(shards)
-    met = pairs.join(packs, "block").join(index, "shard").repartition(F.col("block"), F.col("shard"))
-    found = met.groupBy("block", "shard").applyInArrow(_search(k), _schema)
+    # Every pack of queries goes to every shard; a shard is sent once for PACKS packs, which are about as large as it.
+    groups = math.ceil(blocks / PACKS)
+    packs = packs.select(F.pmod("block", F.lit(groups)).cast("long").alias("group"), F.col("p.vec_id").alias("query_ids"), F.col("p.v").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = packs.withColumn("shard", F.col("shard").cast("long")).groupBy("shard", "group")
+    searched = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("group", F.col("group").cast("long")).groupBy("shard", "group")
+    found = asked.cogroup(searched).applyInArrow(_search(k), _schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

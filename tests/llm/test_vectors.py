@@ -106,3 +106,25 @@ def test_empty(spark):
     assert vector_copies(f).collect() == [] and nearest(f, f, 5).collect() == []
     two = frame(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])])
     assert [(r["query_id"], r["vec_id"]) for r in nearest(two, two.where("vec_id = 0"), 5).collect()] == [(0, 1)]
+
+
+def test_searches_score_few_nodes():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((15_000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = graph_search.Graph(x).build()
+    q = x[:: len(x) // 200]
+    found, _ = g.search(q, graph_search.BEAM)
+    want = np.argsort(-(q @ x.T), 1)[:, :6]
+    assert np.mean([len(set(a[:6]) & set(b)) / 6 for a, b in zip(found, want)]) >= 0.9
+    assert g.scored < 0.1 * len(q) * len(x)
+    # Pruned edges: within the degree, to others, none twice.
+    for i in range(0, len(x), 500):
+        e = g.edges[i][g.edges[i] >= 0].tolist()
+        assert 0 < len(e) <= graph_search.DEGREE and i not in e and len(set(e)) == len(e)
+
+
+def test_one_id_with_unlike_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    runs = [sorted(map(tuple, nearest(frame(spark, some), frame(spark, some).where("vec_id = 0"), 2).collect())) for some in (rows, rows[::-1])]
+    assert runs[0] == runs[1] and {r[2] for r in runs[0]} == {1, 2}
