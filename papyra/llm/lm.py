@@ -3,14 +3,20 @@
 Tokens are a document's words with A-Z lowered, then one end. Token counts are
 gathered from all training documents (see slices): every slice of the corpus
 asks buckets of words for the counts of its own distinct words, so no word list
-is ever whole in one place. The model predicts the *class* of the next token from the class of the
-one before: the `VOCABULARY` commonest tokens are classes of their own, all
-others fall into `RARE` classes by their last bytes, inside which a token has
-probability (c + 1) / (N + V + 1) with the class's counts. Class pairs are counted
-over all training documents too; that table has a fixed size and holds all that
-training needs. The model is s(w | c) = r_c . q_w + b_w; training tells counted
-pairs from pairs with noise drawn from the class frequencies; afterwards one
-matrix product over all contexts gives exactly normalised log-probabilities.
+is ever whole in one place. The model predicts the *class* of the next token from
+the classes of the two before: the `VOCABULARY` commonest tokens are classes of
+their own, all others fall into `RARE` classes by their last bytes, inside which a
+token has probability (c + 1) / (N + V + 1) with the class's counts.
+
+The model is s(w | c2, c1) = (r1[c1] + r2[c2]) . q[w] + b[w], a projection for each
+position of the context. Training tells tokens from noise drawn from the class
+frequencies, in two steps. First r1, q and b are fitted on the driver to the table
+of class pairs of all training documents, which has a fixed size. From there every
+partition of the training documents goes once over all its tokens, with noise
+shared by a batch, and the partitions' parameters are averaged by their tokens; so
+what training sees grows with the corpus. As exp(s) is a product of a factor of
+(c1, w) and one of (c2, w), one matrix product gives the normaliser of every pair
+of contexts, and log-probabilities are exactly normalised.
 
 Defined cases: null text is empty, an empty text is one end token; a null doc_id
 is a training row; no training rows give N = 0 and a uniform class model;
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +35,12 @@ from papyra.llm.flat import U, mix, release, texts_of, word_names, words_of
 from papyra.llm.slices import ASKS, ASKS_ARROW, Sliced, groups, packed, told
 from papyra.plans.durable import checkpointed
 
-VOCABULARY, RARE, DIMS = 1024, 256, 32
+VOCABULARY, RARE, DIMS = 1792, 256, 32
 NOISE, STEPS, BATCH = 8, 600, 4096
-#: Parts in which the commonest tokens and the class pairs are merged.
-PARTS = 16
+#: Noise shared by a batch of tokens in the pass over the corpus, and its first step.
+SHARED, RATE = 96, 0.05
+#: Parts of the table of class pairs, and how many summaries one task merges.
+PARTS, FAN = 16, 32
 CLASS_SHIFT = U(56)
 COUNT = (U(1) << CLASS_SHIFT) - U(1)
 END = mix(np.array([0x454E44], np.uint64))
@@ -65,6 +74,7 @@ class _Tokens:
         return np.where(vocabulary[k] == self.names, k, len(vocabulary) + self.rare)
 
     def before(self, classes: np.ndarray, end: int) -> np.ndarray:
+        """What stands before each token: an end before a document's first; of these again, what stands two before."""
         c = np.empty_like(classes)
         c[1:] = classes[:-1]
         c[self.first[:-1]] = end
@@ -133,7 +143,7 @@ def _totals(batches):
             names, more = np.frombuffer(r["names"], np.uint64), np.frombuffer(r["more"], np.uint64)
             rare, total = (more >> CLASS_SHIFT).astype(np.int64), more & COUNT
             v, n = np.bincount(rare, minlength=RARE), np.bincount(rare, total.astype(float), RARE).astype(np.int64)
-            yield _summary(r["bucket"] % PARTS, v, n, names, total, rare)
+            yield _summary(r["bucket"] // FAN, v, n, names, total, rare)
 
 
 def _summary(part, v, n, names, total, rare):
@@ -153,21 +163,42 @@ def _merge(key, table):
     return pa.Table.from_batches([_summary(key[0].as_py(), v, n, names, total, rare)])
 
 
-class ClassModel:
-    """The trained classes: vocabulary, log10 probabilities of class after class, and what rare classes hold."""
+def _tree(df: DataFrame, merge, schema: str, n: int) -> pa.Table:
+    """Merges rows whose `part` is below n / FAN, FAN by FAN, until the driver takes the few that are left."""
+    while True:
+        df = df.groupBy("part").applyInArrow(merge, schema)
+        n = -(-n // FAN)
+        if n <= FAN:
+            return df.toArrow()
+        df = df.withColumn("part", F.expr(f"part div {FAN}").cast("int"))
+
 
-    def __init__(self, vocabulary: np.ndarray, pairs: np.ndarray, rare_v: np.ndarray, rare_n: np.ndarray):
-        self.vocabulary, self.rare_v, self.rare_n = vocabulary, rare_v, rare_n
-        self.table = train(pairs)
+class ClassModel:
+    """The trained classes: vocabulary, parameters, log normalisers [c2, c1], and what rare classes hold."""
+
+    def __init__(self, vocabulary: np.ndarray, p: dict[str, np.ndarray], rare_v: np.ndarray, rare_n: np.ndarray):
+        self.vocabulary, self.p, self.rare_v, self.rare_n = vocabulary, p, rare_v, rare_n
+        near, far = (p[r].astype(np.float64) @ p["q"].T.astype(np.float64) for r in ("r1", "r2"))
+        near += p["b"]
+        top = near.max(1), far.max(1)
+        z = np.exp(far - top[1][:, None]) @ np.exp(near - top[0][:, None]).T
+        self.log_z = (np.log(z) + top[1][:, None] + top[0][None, :]).astype(np.float32)
         self.end = int(np.searchsorted(vocabulary, END[0]))
         self.rare_log = np.log10(rare_v + rare_n + 1.0)
 
+    def class_scores(self, c2: np.ndarray, c1: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Log10 probability of each class w after c2, c1."""
+        p, out = self.p, np.empty(len(w))
+        for a in range(0, len(w), 1 << 15):
+            x, y, z = (v[a : a + (1 << 15)] for v in (c2, c1, w))
+            out[a : a + (1 << 15)] = np.einsum("ij,ij->i", p["r1"][y] + p["r2"][x], p["q"][z]) + p["b"][z] - self.log_z[x, y]
+        return out / np.log(10)
 
-def train(pairs: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Log10 probabilities [context, class] of a log-bilinear model, by noise-contrastive estimation."""
+
+def first_fit(pairs: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+    """Parameters fitted to the counts [c1, w] of class pairs by noise-contrastive estimation; r2 is 0."""
     k, r = len(pairs), np.random.default_rng(seed)
-    noise = pairs.sum(0) + 0.5
-    noise = noise / noise.sum()
+    noise = noise_of(pairs.sum(0))
     context = (0.1 * r.standard_normal((k, DIMS))).astype(np.float32)
     target = (0.1 * r.standard_normal((k, DIMS))).astype(np.float32)
     bias = np.log(noise).astype(np.float32)
@@ -189,9 +220,83 @@ def train(pairs: np.ndarray, seed: int = 5) -> np.ndarray:
                 g = _scatter(at_, g, parts)
                 s += (g / BATCH) ** 2
                 p -= (rate * (g / BATCH) / np.sqrt(s)).astype(np.float32)
-    score = (context @ target.T + bias).astype(np.float64)
-    top = score.max(1, keepdims=True)
-    return ((score - top - np.log(np.exp(score - top).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
+    return {"r1": context, "r2": np.zeros_like(context), "q": target, "b": bias}
+
+
+def noise_of(counts: np.ndarray) -> np.ndarray:
+    noise = counts + 0.5
+    return noise / noise.sum()
+
+
+class Pass:
+    """One pass of noise-contrastive estimation over a partition's tokens, from given parameters."""
+
+    def __init__(self, p: dict[str, np.ndarray], noise: np.ndarray, seed: int):
+        self.p, self.r, self.tokens = {k: v.copy() for k, v in p.items()}, np.random.default_rng(seed), 0
+        self.heap, self.log_noise = np.cumsum(noise), np.log(SHARED * noise).astype(np.float32)
+        self.square = {k: np.full(v.shape, 1e-4, np.float32) for k, v in p.items()}
+
+    def batch(self, c2: np.ndarray, c1: np.ndarray, w: np.ndarray) -> None:
+        p, n = self.p, len(w)
+        other = np.minimum(np.searchsorted(self.heap, self.r.random(SHARED)), len(self.heap) - 1)
+        h, q, o = p["r1"][c1] + p["r2"][c2], p["q"][w], p["q"][other]
+        d = 1 / (1 + np.exp(self.log_noise[w] - np.einsum("ij,ij->i", h, q) - p["b"][w])) - 1
+        e = 1 / (1 + np.exp(self.log_noise[other] - h @ o.T - p["b"][other]))
+        dh = d[:, None] * q + e @ o
+        k = len(p["b"])
+        at = np.concatenate([w, other])
+        self._step("q", _scatter(at, np.concatenate([d[:, None] * h, e.T @ h]), (k, DIMS)) / n)
+        self._step("b", _scatter(at, np.concatenate([d, e.sum(0)]), (k,)) / n)
+        self._step("r1", _scatter(c1, dh, (k, DIMS)) / n)
+        self._step("r2", _scatter(c2, dh, (k, DIMS)) / n)
+        self.tokens += n
+
+    def _step(self, name: str, g: np.ndarray) -> None:
+        self.square[name] += g * g
+        self.p[name] -= RATE * g / np.sqrt(self.square[name])
+
+
+_parameters = "part int, tokens long, p binary"
+
+
+def _passes(vocabulary: np.ndarray, start: dict[str, np.ndarray], noise: np.ndarray):
+    """Each partition's sum of parameters times tokens, and their merging."""
+    end = int(np.searchsorted(vocabulary, END[0]))
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        own = Pass(start, noise, part)
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                t = _Tokens(b.column(0).slice(a, 256))
+                c = t.classes(vocabulary)
+                c1 = t.before(c, end)
+                c2 = t.before(c1, end)
+                for i in range(0, len(c), BATCH):
+                    own.batch(c2[i : i + BATCH], c1[i : i + BATCH], c[i : i + BATCH])
+        if own.tokens:
+            yield _weighed(part // FAN, own.tokens, np.concatenate([own.p[k].reshape(-1).astype(np.float64) * own.tokens for k in sorted(own.p)]))
+        release()
+
+    def merge(key, table):
+        return pa.Table.from_batches([_weighed(key[0].as_py(), sum(table.column("tokens").to_pylist()), sum(np.frombuffer(p) for p in table.column("p").to_pylist()))])
+
+    return run, merge
+
+
+def _weighed(part: int, tokens: int, p: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([part], pa.int32()), pa.array([tokens], pa.int64()), pa.array([p.tobytes()], pa.binary())], names=["part", "tokens", "p"])
+
+
+def _averaged(rows: pa.Table, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    tokens = sum(rows.column("tokens").to_pylist())
+    if not tokens:
+        return start
+    flat, out, at = sum(np.frombuffer(p) for p in rows.column("p").to_pylist()) / tokens, {}, 0
+    for k in sorted(start):
+        out[k] = flat[at : at + start[k].size].reshape(start[k].shape).astype(np.float32)
+        at += start[k].size
+    return out
 
 
 def _scatter(at: np.ndarray, g: np.ndarray, shape: tuple) -> np.ndarray:
@@ -220,14 +325,14 @@ def _pairs(vocabulary: np.ndarray):
         for p in range(PARTS):
             own = cells[cells % PARTS == p]
             if len(own):
-                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([total[own].tobytes()], pa.binary())], names=["part", "cells", "n"])
+                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([own.astype(np.int32).tobytes()], pa.binary()), pa.array([total[own].tobytes()], pa.binary())], names=["part", "cells", "n"])
 
     def merge(key, table):
         total = np.zeros(k * k, np.int64)
         for cells, n in zip(table.column("cells").to_pylist(), table.column("n").to_pylist()):
-            total[np.frombuffer(cells, np.int64)] += np.frombuffer(n, np.int64)
+            total[np.frombuffer(cells, np.int32)] += np.frombuffer(n, np.int64)
         cells = np.flatnonzero(total)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary()), "n": pa.array([total[cells].tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([cells.astype(np.int32).tobytes()], pa.binary()), "n": pa.array([total[cells].tobytes()], pa.binary())})
 
     return run, merge
 
@@ -241,7 +346,8 @@ def _score(model: ClassModel, base_log: float, train_tokens: int):
             k = np.minimum(np.searchsorted(names, t.names), len(names) - 1)
             count = np.where(names[k] == t.names, total[k], 0).astype(np.float64)
         c = t.classes(model.vocabulary)
-        score = model.table[t.before(c, model.end), c].astype(np.float64)
+        c1 = t.before(c, model.end)
+        score = model.class_scores(t.before(c1, model.end), c1, c)
         rare = c >= len(model.vocabulary)
         score[rare] += np.log10(count[rare] + 1) - model.rare_log[t.rare[rare]]
         at, n = t.first[:-1], np.diff(t.first)
@@ -254,17 +360,19 @@ def _score(model: ClassModel, base_log: float, train_tokens: int):
     return run
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    sliced = Sliced(docs)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    sliced.docs = sliced.docs.withColumn("held_out", held)
-    n = sliced.buckets
-    training = docs.where(~held).select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = checkpointed(training.mapInArrow(_local_counts(n), ASKS).repartition(n, "bucket").mapInArrow(_global_counts(n), ASKS))
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+
+
+def token_counts(training: DataFrame, buckets: int) -> DataFrame:
+    """Count and rare class of every distinct token, packed by bucket."""
+    return checkpointed(training.mapInArrow(_local_counts(buckets), ASKS).repartition(buckets, "bucket").mapInArrow(_global_counts(buckets), ASKS))
+
+
+def fit(training: DataFrame, counts: DataFrame, buckets: int) -> tuple[ClassModel, int, int]:
+    """The model, and how many tokens and distinct tokens it was trained on."""
     summary = "part int, v binary, n binary, names binary, total binary, rare binary"
-    merged = counts.mapInArrow(_totals, summary).groupBy("part").applyInArrow(_merge, summary).toArrow()
-    rare_v, rare_n, names, total, rare = _merged(merged)
+    rare_v, rare_n, names, total, rare = _merged(_tree(counts.mapInArrow(_totals, summary), _merge, summary, buckets))
     best = np.lexsort((names, -total.astype(np.int64)))[:VOCABULARY]
     known = np.isin(names[best], END, invert=True)
     train_tokens, distinct = int(rare_n.sum()), int(rare_v.sum())
@@ -272,7 +380,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     rare_v = rare_v - np.bincount(rare[best], minlength=RARE)
     rare_n = rare_n - np.bincount(rare[best], total[best].astype(float), RARE).astype(np.int64)
     if len(best) and known.all():  # the end is always a class; it may be rarer than the commonest words
-        ends = docs.select((~held).cast("long").alias("t")).agg(F.sum("t")).first()[0] or 0
+        ends = training.count()
         rare_v[0] -= ends > 0
         rare_n[0] -= ends
     vocabulary = np.sort(np.concatenate([names[best][known], END]))
@@ -282,7 +390,22 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     k = len(vocabulary) + RARE
     pairs = np.zeros(k * k, np.int64)
     for c, m in zip(cells.column("cells").to_pylist(), cells.column("n").to_pylist()):
-        pairs[np.frombuffer(c, np.int64)] += np.frombuffer(m, np.int64)
-    model = ClassModel(vocabulary, pairs.reshape(k, k), rare_v, rare_n)
+        pairs[np.frombuffer(c, np.int32)] += np.frombuffer(m, np.int64)
+    pairs = pairs.reshape(k, k)
+    start = first_fit(pairs)
+    run, merge = _passes(vocabulary, start, noise_of(pairs.sum(0)))
+    passed = training.mapInArrow(run, _parameters)
+    p = _averaged(_tree(passed, merge, _parameters, training.rdd.getNumPartitions()), start)
+    return ClassModel(vocabulary, p, rare_v, rare_n), train_tokens, distinct
+
+
+def lm_scores(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    sliced = Sliced(docs)
+    sliced.docs = sliced.docs.withColumn("held_out", held_out())
+    n = sliced.buckets
+    training = docs.where(~held_out()).select(F.coalesce("text", F.lit("")).alias("text"))
+    counts = token_counts(training, n)
+    model, train_tokens, distinct = fit(training, counts, n)
     said = sliced.answer(sliced.ask(_ask).union(counts), _count)
     return sliced.finish(_score(model, float(np.log10(train_tokens + distinct + 1)), train_tokens), RESULT, said)

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 from papyra.llm import lm
-from papyra.llm.lm import lm_scores, train
+from papyra.llm.flat import U, mix, word_names
+from papyra.llm.lm import END, ClassModel, Pass, first_fit, fit, held_out, lm_scores, token_counts
 
 
 def brute(rows):
@@ -29,16 +30,78 @@ def test_counts(docs, rows, monkeypatch, vocabulary):
     assert all(r["score"] < 0 for r in got)
 
 
+def table(p, c2):
+    """Log10 probabilities [c1, w] after c2, plainly."""
+    s = (p["r1"] + p["r2"][c2]).astype(float) @ p["q"].T.astype(float) + p["b"]
+    return (s - np.log(np.exp(s).sum(1, keepdims=True))) / math.log(10)
+
+
 def test_model_is_normalised_and_learns():
     pairs = np.zeros((6, 6), np.int64)
     for i in range(6):
         pairs[i, (i + 1) % 6] = 900
         pairs[i, i] = 100
-    t = train(pairs).astype(float)
-    assert np.allclose((10**t).sum(1), 1, atol=1e-4)
+    t = table(first_fit(pairs), 0)
     assert all(t[i].argmax() == (i + 1) % 6 for i in range(6))
 
 
+def test_a_pass_learns_the_second_context():
+    """The next class is the one two before."""
+    r, start = np.random.default_rng(0), first_fit(np.full((6, 6), 100))
+    own = Pass(start, np.full(6, 1 / 6), 0)
+    for _ in range(400):
+        c2 = r.integers(0, 6, 512)
+        own.batch(c2, r.integers(0, 6, 512), c2)
+    assert all((table(own.p, c).argmax(1) == c).all() for c in range(6))
+    model = ClassModel(np.sort(np.append(np.arange(1, 6).astype(np.uint64), END)), own.p, np.zeros(256, int), np.zeros(256, int))
+    c2, c1, w = r.integers(0, 6, (3, 200))
+    want = [table(own.p, x)[y, z] for x, y, z in zip(c2, c1, w)]
+    assert np.allclose(model.class_scores(c2, c1, w), want, atol=1e-5)
+
+
+def test_score_against_plain_recomputation(docs, rows, monkeypatch):
+    """Classes from counts by hand, probabilities from the model's parameters, token by token."""
+    monkeypatch.setattr(lm, "VOCABULARY", 40)
+    training = docs.where(~held_out()).selectExpr("coalesce(text, '') text")
+    model, n, v = fit(training, token_counts(training, 8), 8)
+    lower = lambda w: re.sub(rb"[A-Z]", lambda m: m[0].lower(), w)
+    tokens = [(d, [lower(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] + [None]) for d, t, _ in rows]
+    c = Counter(w for d, ws in tokens if d is None or zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
+    assert (n, v) == (sum(c.values()), len(c))
+    vocabulary = model.vocabulary.tolist()
+
+    def class_of(w):
+        name = END[0] if w is None else word_names(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+        if name in vocabulary:
+            return vocabulary.index(name)
+        tail = [U(x) for x in (w[::-1][:3] + bytes(3))[:3]]
+        return len(vocabulary) + int(mix(np.array([tail[0] | tail[1] << U(8) | tail[2] << U(16)]))[0] % U(256))
+
+    classes = {w: class_of(w) for _, ws in tokens for w in ws}
+    words, total = Counter(classes[w] for w in c), Counter()
+    for w, k in c.items():
+        total[classes[w]] += k
+    assert sum(k < len(vocabulary) for k in words) == len([w for w in c if classes[w] < len(vocabulary)]) >= 40
+    tables = {}
+    want = []
+    for d, ws in tokens:
+        x = y = model.end
+        s = 0.0
+        for w in ws if len(ws) < 2000 else []:
+            k = classes[w]
+            if x not in tables:
+                tables[x] = table(model.p, x)
+            s += tables[x][y, k]
+            if k >= len(vocabulary):
+                s += math.log10((c[w] + 1) / (total[k] + words[k] + 1))
+            x, y = y, k
+        want.append((d, len(ws), s))
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in lm_scores(docs).collect() if r["n_tokens"] < 2000)
+    want = sorted((d is not None, d or 0, n, s) for d, n, s in want if n < 2000)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert max(abs(g[3] - w[3]) / w[2] for g, w in zip(got, want)) < 1e-3
+
+
 def test_better_than_base(spark):
     r = lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").groupBy().sum("score", "base_score").first()
     assert r["sum(score)"] > r["sum(base_score)"]
