@@ -137,8 +137,8 @@ def _slots(spark: SparkSession, sources: list[dict], seed: int) -> DataFrame:
     drawn = {"shard": k, "sid": sid, "first": first[k, j], "off": off[k, j], "n": counts[k, j], "held": counts.sum(1)[k], "blocks": blocks}
     frame = spark.createDataFrame(pd.DataFrame(drawn).astype("int64"), ", ".join(f"{c} long" for c in drawn))
     pieces = frame.withColumn("k", F.explode(F.expr(f"sequence(0L, n - 1, {PIECE}L)")))
-    spread = max(8, len(k), int(counts.sum()) // (8 * PIECE))
-    ranks = pieces.repartition(min(spread, 4096), "shard", "sid", "k").withColumn("i", F.explode(F.expr(f"sequence(k, least(k + {PIECE}, n) - 1)")))
+    # Tasks follow the slots, not the shards: each numbers about half a million.
+    ranks = pieces.repartition(max(4, int(counts.sum()) // (16 * PIECE)), "shard", "sid", "k").withColumn("i", F.explode(F.expr(f"sequence(k, least(k + {PIECE}, n) - 1)")))
     number = F.pandas_udf(lambda r, n, s: pd.Series(permuted(r.to_numpy(), n.to_numpy(), s.to_numpy(), seed)), "long")
     rank = F.col("first") + F.col("i")
     return ranks.select(
