@@ -41,6 +41,13 @@ def nodes(mentions: DataFrame) -> DataFrame:
     return n.select(*NODE_FIELDS)
 
 
+def indices(mentions: DataFrame) -> DataFrame:
+    """canonical_id and matrix_index, as in nodes, without its counts."""
+    n = mentions.groupBy("canonical_id").agg(F.max("canonical_name").alias("_n"), F.max("category").alias("_c"))
+    n = n.select("canonical_id", S.rank_of("_c", S.CATEGORIES).alias("_r"), casefold("_n").alias("_f"))
+    return with_index(n, "matrix_index", F.col("_r"), F.col("_f"), F.col("canonical_id")).select("canonical_id", "matrix_index")
+
+
 def presences(mentions: DataFrame) -> DataFrame:
     """One row for each unit and node, with what its mentions say."""
     return mentions.groupBy(*UNIT, "canonical_id").agg(F.count(F.lit(1)).alias("mention_count"), distinct_sorted("text").alias("texts"), distinct_sorted("ambiguity").alias("ambiguities"))
@@ -55,12 +62,12 @@ def sentences(mentions: DataFrame) -> DataFrame:
 def incidence(mentions: DataFrame) -> DataFrame:
     """Entries (matrix_row, matrix_index, value 1) of the binary matrix of sentences and nodes."""
     once = mentions.select(*UNIT, "canonical_id").distinct()
-    return once.join(sentences(mentions).select("matrix_row", *UNIT), UNIT).join(nodes(mentions).select("matrix_index", "canonical_id"), "canonical_id").select("matrix_row", "matrix_index", F.lit(1).alias("value"))
+    return once.join(sentences(mentions).select("matrix_row", *UNIT), UNIT).join(indices(mentions), "canonical_id").select("matrix_row", "matrix_index", F.lit(1).alias("value"))
 
 
 def _indexed(mentions: DataFrame, rich: bool) -> DataFrame:
     once = presences(mentions) if rich else mentions.select(*UNIT, "canonical_id").distinct()
-    return once.join(nodes(mentions).select("canonical_id", "matrix_index"), "canonical_id")
+    return once.join(indices(mentions), "canonical_id")
 
 
 def _pairs(indexed: DataFrame) -> DataFrame:

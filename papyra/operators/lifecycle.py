@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from papyra import schemas as S
 from papyra.functions.text import strip
+from papyra.operators import rules
 
 #: stage: status it starts from, status it gives, path column it needs, path column it fills.
 STAGES = {
@@ -133,9 +134,10 @@ def removed(documents: DataFrame, mentions: DataFrame, ids: DataFrame) -> tuple[
 
 
 def ingested(files: DataFrame, incubator_number: int, metadata: str | None = None, language: str | None = None) -> DataFrame:
-    """Rows of new documents from a binaryFile scan (path, length, modificationTime)."""
+    """Rows of new documents from a binaryFile scan (path, length, modificationTime); metadata that is no JSON object or a file without a name raises RuleError."""
     if not 1 <= incubator_number <= 8:
         raise ValueError("incubator_number is 1 to 8")
     name = F.regexp_extract("path", r"([^/\\]+)$", 1)
     rows = files.select(F.sha2("path", 256).alias("id"), name.alias("original_filename"), F.col("path").alias("file_path"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("file_type"), F.col("length").cast("long").alias("file_size_bytes"), F.lit("raw").alias("status"), F.lit(incubator_number).cast("short").alias("incubator_number"), language_value(F.lit(language).cast("string")).alias("language"), F.col("modificationTime").cast("timestamp_ntz").alias("uploaded_at"), F.lit(metadata).cast("string").alias("metadata"))
+    rules.enforce(rules.metadata_rules(rows))
     return rows.select("*", *(F.lit(None).cast("string").alias(c) for c in ("converted_path", "cleaned_path", "ner_path", "images_path")))

@@ -6,28 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papyra.plans.durable import checkpointed
+
 #: Rows up to which one window is fine; beyond it the order is cut into ranges of about this size.
 ONE_WINDOW = 200_000
-MOST_RANGES = 2_000
 
 
 def with_index(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Adds a column counting from 0 in the given (total) order.
 
-    Large inputs are cut at sampled keys into ranges; a row's index is the number
-    of rows in the ranges before plus its place in its own.
+    The rows are computed once. Large inputs are dealt over ranges of the order; a
+    row's index is the number of rows in the ranges before plus its place in its own.
     """
+    df = checkpointed(df)
     n = df.count()
     if n <= ONE_WINDOW:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    ranges = min(MOST_RANGES, n // ONE_WINDOW + 1)
-    key = F.struct(*(o.alias(f"k{i}") for i, o in enumerate(order)))
-    drawn = df.select(key.alias("k")).sample(min(1.0, 100 * ranges / n), seed=1).distinct().orderBy("k").collect()
-    cuts = [drawn[i * len(drawn) // ranges]["k"] for i in range(1, ranges)] if drawn else []
-    types = df.select(key.alias("k")).schema["k"].dataType
-    edges = F.array(*(F.struct(*(F.lit(c[f.name]).cast(f.dataType).alias(f.name) for f in types.fields)) for c in cuts)) if cuts else None
-    part = F.size(F.filter(edges, lambda e: e <= key)) if cuts else F.lit(0)
-    parted = df.withColumn("_part", part)
+    # The checkpoint keeps each row's range, whatever becomes of the partitions later.
+    parted = checkpointed(df.repartitionByRange(n // ONE_WINDOW + 1, *order).withColumn("_part", F.spark_partition_id()))
     # One row for each range.
     before = parted.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).drop("count")
     placed = parted.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long") - 1)

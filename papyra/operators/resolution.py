@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from papyra.functions import fixed as X
 from papyra.functions import names as N
 from papyra.functions.text import collapse, words
+from papyra.operators import rules
 from papyra.plans.durable import checkpointed
 
 DOC = "document_id"
@@ -210,7 +211,8 @@ def decide(groups: DataFrame, known: DataFrame, index: DataFrame, pruned: bool =
 
 
 def resolve(mentions: DataFrame, registry: DataFrame, aliases: DataFrame, pruned: bool = False) -> DataFrame:
-    """Mentions with canonical_id, canonical_name, match_type, scores, version and details."""
+    """Mentions with canonical_id, canonical_name, match_type, scores, version and details; broken mentions raise RuleError."""
+    rules.enforce(rules.entity_rules(mentions))
     known = checkpointed(candidates(registry))
     plans = checkpointed(planned(mentions))
     d = decide(checkpointed(grouped(plans)), known, alias_index(aliases, registry), pruned)

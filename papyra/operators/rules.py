@@ -30,11 +30,16 @@ def blank(c: str) -> Column:
 
 
 def entity_rules(entities: DataFrame, key: str = "mention_index") -> DataFrame:
-    """Before resolution: text, category and offsets (an empty span is allowed)."""
+    """Before resolution: text, category and, where there are any, offsets (an empty span is allowed)."""
     k = F.col(key)
-    return _all([
+    text = [
         _broken(entities, "text", k, blank("text"), "blank text"),
-        _broken(entities, "category", k, ~F.col("category").isin(*S.CATEGORIES), "unknown category"),
+        _broken(entities, "category", k, ~F.coalesce(F.col("category").isin(*S.CATEGORIES), F.lit(False)), "unknown category"),
+    ]
+    if not {"start", "end"} <= set(entities.columns):
+        return _all(text)
+    return _all([
+        *text,
         _broken(entities, "offset_type", k, F.col("start").isNull() | F.col("end").isNull(), "offsets are not integers"),
         _broken(entities.where("start is not null and end is not null"), "offset_order", k, (F.col("start") < 0) | (F.col("end") < F.col("start")), "inconsistent offsets"),
     ])

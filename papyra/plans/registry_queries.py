@@ -32,9 +32,9 @@ def _aliases(spark, d):
     return r.select(F.col("id").alias("canonical_id"), name("3").alias("normalized_alias")).union(r.select("id", name("6"))).union(r.join(least, "category").select("_l", name("6")))
 
 
-@query(r"SELECT doc_id, replace(strip_accents(lower(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))), 'ß', 'ss') AS name FROM documents")
+@query(r"SELECT doc_id, replace(strip_accents(lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))), 'ß', 'ss') AS name FROM documents")
 def name_normalize(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", N.normalized(F.split("text", "\n")[0]).alias("name"))
+    return V.table(spark, d, "documents").select("doc_id", N.normalized(F.col("text")).alias("name"))
 
 
 def _phrases(spark, d):

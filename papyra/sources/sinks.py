@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.operators import network as N
+from papyra.plans.durable import checkpointed
+
+#: Folders that stored mentions are dealt over.
+MENTION_BUCKETS = 512
 
 
 def _put(spark: SparkSession, path: str, pieces: Iterator[str]) -> None:
@@ -141,9 +145,27 @@ def replace_partitions(df: DataFrame, path: str, by: str = "document_id") -> Non
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def replace_mentions(spark: SparkSession, mentions: DataFrame, path: str) -> None:
-    """Stores the mentions of documents in place of what was stored of them, all with one time; the second score isn't stored."""
-    replace_partitions(mentions.drop("second_match_score").withColumn("created_at", F.current_timestamp()), path)
+def replace_mentions(spark: SparkSession, mentions: DataFrame, path: str, documents: DataFrame | None = None, buckets: int = MENTION_BUCKETS) -> None:
+    """Stores the mentions of documents in place of what was stored of them, all with one time; the second score isn't stored.
+
+    documents (document_id) are those that were processed, also those that now have
+    no mention; without it they are the documents of the mentions. The table is dealt
+    over buckets of documents, and only the buckets of these documents are rewritten.
+    """
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int").alias("bucket")
+    done = checkpointed((documents if documents is not None else mentions).select("document_id", bucket).distinct())
+    touched = {r["bucket"] for r in done.select("bucket").distinct().collect()}
+    rows = mentions.drop("second_match_score").withColumn("created_at", F.current_timestamp()).withColumn("bucket", bucket)
+    try:
+        stored = spark.read.parquet(path).where(F.col("bucket").isin(*touched))
+        rows = rows.unionByName(stored.join(done.select("document_id"), "document_id", "left_anti"), allowMissingColumns=True)
+    except Exception as e:  # the first write makes the table
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    rows = checkpointed(rows)
+    replace_partitions(rows.repartition("bucket"), path, "bucket")
+    for b in touched - {r["bucket"] for r in rows.select("bucket").distinct().collect()}:
+        delete(spark, f"{path}/bucket={b}")
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:

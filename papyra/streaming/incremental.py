@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from papyra import schemas as S
 from papyra.operators import resolution as R
+from papyra.plans.durable import checkpointed
 from papyra.sources import sinks
 
 
@@ -26,25 +27,25 @@ def arriving_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def arriving_mentions(spark: SparkSession, path: str) -> DataFrame:
-    """Mentions of annotation files as they arrive in a folder."""
+    """Mentions of annotation files as they arrive in a folder; a file without any is one row with no mention_index."""
     files = spark.readStream.schema(S.NER_FILE).option("multiLine", "true").json(path)
-    return files.select("document_id", F.posexplode("entities").alias("mention_index", "e")).select("document_id", "mention_index", "e.*")
+    return files.select("document_id", F.posexplode_outer("entities").alias("mention_index", "e")).select("document_id", "mention_index", "e.*")
 
 
-def resolve_batch(mentions: DataFrame, folder: str) -> None:
+def resolve_batch(batch: DataFrame, folder: str) -> None:
     """Resolves a batch and stores mentions (in place of the same documents'), new canonicals and new aliases.
 
+    A document whose rows have no mention_index has no mentions any more.
+
     Writes are by key, so a batch that is run again after a failure stores the same.
     """
-    spark = mentions.sparkSession
+    spark, mentions = batch.sparkSession, batch.where("mention_index is not null")
     registry, aliases = _stored(spark, f"{folder}/canonicals", S.CANONICAL), _stored(spark, f"{folder}/aliases", S.ALIAS)
-    from papyra.plans.durable import checkpointed
-
     resolved = checkpointed(R.resolve(mentions, checkpointed(registry), checkpointed(aliases)))
     made = R.registered(resolved, registry.limit(0))
     sinks.append_new(made, f"{folder}/canonicals", ["id"])
     sinks.append_new(R.new_aliases(resolved, aliases), f"{folder}/aliases", ["canonical_id", "normalized_alias"])
-    sinks.replace_mentions(spark, resolved.drop("normalized"), f"{folder}/mentions")
+    sinks.replace_mentions(spark, resolved.drop("normalized"), f"{folder}/mentions", batch.select("document_id"))
 
 
 def resolve_stream(mentions: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

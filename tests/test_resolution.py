@@ -5,9 +5,11 @@ import json
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from papyra.functions import names as N
 from papyra.operators import audit as A
+from papyra.operators import lifecycle, rules
 from papyra.operators import resolution as R
 from papyra.plans import catalog, jobs
 from papyra.streaming import incremental
@@ -124,6 +126,25 @@ def test_stream(spark, tmp_path):
     assert kept.count() == 4 and kept.select("canonical_id").distinct().count() == 1 and "second_match_score" not in kept.columns
     assert {r["match_type"] for r in kept.where("document_id = 'd1'").collect()} == {"exact"}
     assert spark.read.parquet(f"{tmp_path}/out/canonicals").count() == 1 and spark.read.parquet(f"{tmp_path}/out/aliases").count() == 1
+    # A document that comes again without mentions loses those it had.
+    (src / "2.json").write_text(json.dumps({"document_id": "d0", "entities": []}))
+    incremental.resolve_stream(incremental.arriving_mentions(spark, str(src)), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert {r["document_id"] for r in spark.read.parquet(f"{tmp_path}/out/mentions").collect()} == {"d1"}
+
+
+def test_broken_rows_are_refused(spark):
+    known, none = spark.createDataFrame([("0", "Lima", "LOC")], "id string, canonical_name string, category string"), spark.createDataFrame([], "canonical_id string, normalized_alias string")
+    for text, category, start, end in ((" ", "LOC", 0, 4), ("Lima", "TOWN", 0, 4), ("Lima", None, 0, 4), ("Lima", "LOC", 5, 4), ("Lima", "LOC", None, 4)):
+        m = spark.createDataFrame([("d", 0, text, category, start, end)], "document_id string, mention_index int, text string, category string, start int, end int")
+        with pytest.raises(rules.RuleError):
+            R.resolve(m, known, none)
+    files = spark.createDataFrame([("in/a.pdf", 3, None)], "path string, length long, modificationTime timestamp")
+    assert lifecycle.ingested(files, 1, '{"a": 1}').count() == 1
+    for metadata in ("[1]", "{", "1"):
+        with pytest.raises(rules.RuleError):
+            lifecycle.ingested(files, 1, metadata)
+    with pytest.raises(rules.RuleError):
+        lifecycle.ingested(files.withColumn("path", F.lit("in/")), 1)
 
 
 def corpus(spark, folder, texts):
