@@ -2,6 +2,11 @@
 
 Each stage takes what the one before kept, as documents; the last gives what
 encoding and decoding yield for each document of the mix.
+
+Defined cases: a null or empty text is scored, has no copies, loses nothing, and is
+left out by the mix, which takes no words of it; repeated rows are copies, one
+stays; an empty table gives an empty result; a null source is a source; columns
+beyond those of documents, whatever their names, are carried up to the last stage.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("repeats", repeats), ("mixture", mixture), ("tokens", tokens)]
-#: Training, hashing draws and tokenizing aren't SQL; the tests hold each stage against brute force.
+#: Training, hashing draws and tokenizing aren't SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 

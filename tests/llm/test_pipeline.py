@@ -6,6 +6,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 import sentencepiece  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from papyra.llm.queries import oracle_sql, piece_model, queries  # noqa: E402
@@ -38,6 +39,33 @@ def test_stages(spark, tmp_path):
         docs = out
 
 
+def test_stages_against_plain_python(spark, docs, rows, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing names: each stage's rows by the brute-force versions of the operators' tests."""
+    from test_nearcopies import brute
+    from test_repeats import brute_bytes
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    named = docs.withColumn("_h", F.lit("x")).withColumn("row", F.lit("x")).withColumn("in", F.lit("x"))
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality"](spark, named, str(tmp_path))
+    assert good.columns == named.columns and good.count() == len(rows)  # without labels nothing is rejected
+    single = stages["near_copies"](spark, good, str(tmp_path))
+    classes = {c for _, c in brute(rows)}
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in single.collect()]
+    assert {d for d, _, _ in kept} == classes and single.columns == named.columns
+    cut = stages["repeats"](spark, single, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), len((r["text"] or "").encode())) for r in cut) == sorted((str(d), n - gone) for d, n, gone, _, _ in brute_bytes(kept))
+    assert {r[c] for r in cut for c in ("_h", "row", "in")} == {"x"}
+
+
+def test_nothing(spark, nothing, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, str(tmp_path))
+    assert out.collect() == []
+
+
 def test_run(spark):
     r = corpus_pipeline.run(spark, SF)
     assert r.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and r.count() > 100
