@@ -38,7 +38,7 @@ from papyra.plans.durable import checkpointed
 COSINE = 0.95
 BLOCKS = 4
 #: Nodes of a cell that stand, and that visit, in one group.
-STANDING, VISITING = 8192, 16384
+STANDING, VISITING = 16384, 32768
 CELL_NODES = 4096
 SLACK = 1e-9
 _placed = "cell long, block int, node long, home boolean"
