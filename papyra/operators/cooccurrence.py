@@ -16,22 +16,42 @@ from pyspark.sql.window import Window
 from papyra import schemas as S
 from papyra.functions.text import casefold, distinct_sorted
 from papyra.operators.ordering import with_index
+from papyra.plans.durable import checkpointed
 
 UNIT = ["document_id", "sentence_id"]
 NODE_FIELDS = ("matrix_index", "category_index", "layer_index", "canonical_id", "canonical_name", "category", "layer", "mention_count", "sentence_count", "document_count", "ambiguity_low", "ambiguity_medium", "ambiguity_high", "ambiguity_other")
 
 
-def nodes(mentions: DataFrame) -> DataFrame:
-    """One row for each canonical_id with its indices and counts (NODE_FIELDS)."""
+def units(mentions: DataFrame, texts: bool = False) -> DataFrame:
+    """One row for each unit and node with its names and counts, computed once; with texts also what its mentions say.
+
+    Nodes, edges and observations start from it; callers that need several of them
+    pass it on.
+    """
     is_ = lambda x: F.count_if(F.coalesce(F.col("ambiguity") == x, F.lit(False)))
     other = F.count_if(~F.coalesce(F.col("ambiguity").isin(*S.AMBIGUITIES), F.lit(False)))
-    n = mentions.groupBy("canonical_id").agg(
+    said = (distinct_sorted("text").alias("texts"), distinct_sorted("ambiguity").alias("ambiguities")) if texts else ()
+    u = mentions.groupBy(*UNIT, "canonical_id").agg(
         F.max("canonical_name").alias("canonical_name"), F.max("category").alias("category"), F.count(F.lit(1)).alias("mention_count"),
-        F.count_distinct(F.struct(*UNIT)).alias("sentence_count"), F.count_distinct("document_id").alias("document_count"),
-        *(is_(a).alias(f"ambiguity_{a}") for a in S.AMBIGUITIES), other.alias("ambiguity_other"),
+        *(is_(a).alias(f"ambiguity_{a}") for a in S.AMBIGUITIES), other.alias("ambiguity_other"), *said,
     )
-    n = n.withColumn("layer", S.layer_of("category")).withColumn("_r", S.rank_of("category", S.CATEGORIES)).withColumn("_f", casefold("canonical_name"))
-    n = with_index(n, "matrix_index", F.col("_r"), F.col("_f"), F.col("canonical_id"))
+    return checkpointed(u)
+
+
+def _in_order(n: DataFrame) -> DataFrame:
+    """Nodes with their matrix_index."""
+    n = n.withColumn("_r", S.rank_of("category", S.CATEGORIES)).withColumn("_f", casefold("canonical_name"))
+    return with_index(n, "matrix_index", F.col("_r"), F.col("_f"), F.col("canonical_id"))
+
+
+def nodes(mentions: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """One row for each canonical_id with its indices and counts (NODE_FIELDS)."""
+    counts = [c for c in NODE_FIELDS if c == "mention_count" or c.startswith("ambiguity_")]
+    n = (once if once is not None else units(mentions)).groupBy("canonical_id").agg(
+        F.max("canonical_name").alias("canonical_name"), F.max("category").alias("category"),
+        F.count(F.lit(1)).alias("sentence_count"), F.count_distinct("document_id").alias("document_count"), *(F.sum(c).alias(c) for c in counts),
+    )
+    n = _in_order(n.withColumn("layer", S.layer_of("category")))
     # An index inside a category or layer is the distance to its first index, or counts on past other categories.
     for column, by in (("category_index", "category"), ("layer_index", "layer")):
         sizes = n.groupBy("category", "layer").agg(F.count(F.lit(1)).alias("_n"), F.min("matrix_index").alias("_first"))
@@ -41,16 +61,15 @@ def nodes(mentions: DataFrame) -> DataFrame:
     return n.select(*NODE_FIELDS)
 
 
-def indices(mentions: DataFrame) -> DataFrame:
+def indices(once: DataFrame) -> DataFrame:
     """canonical_id and matrix_index, as in nodes, without its counts."""
-    n = mentions.groupBy("canonical_id").agg(F.max("canonical_name").alias("_n"), F.max("category").alias("_c"))
-    n = n.select("canonical_id", S.rank_of("_c", S.CATEGORIES).alias("_r"), casefold("_n").alias("_f"))
-    return with_index(n, "matrix_index", F.col("_r"), F.col("_f"), F.col("canonical_id")).select("canonical_id", "matrix_index")
+    n = once.groupBy("canonical_id").agg(F.max("canonical_name").alias("canonical_name"), F.max("category").alias("category"))
+    return _in_order(n).select("canonical_id", "matrix_index")
 
 
-def presences(mentions: DataFrame) -> DataFrame:
-    """One row for each unit and node, with what its mentions say."""
-    return mentions.groupBy(*UNIT, "canonical_id").agg(F.count(F.lit(1)).alias("mention_count"), distinct_sorted("text").alias("texts"), distinct_sorted("ambiguity").alias("ambiguities"))
+def sentence_rows(once: DataFrame) -> DataFrame:
+    """Each unit's row in the matrix."""
+    return with_index(once.select(*UNIT).distinct(), "matrix_row", F.col("document_id"), F.col("sentence_id"))
 
 
 def sentences(mentions: DataFrame) -> DataFrame:
@@ -59,31 +78,29 @@ def sentences(mentions: DataFrame) -> DataFrame:
     return with_index(s, "matrix_row", F.col("document_id"), F.col("sentence_id")).select("matrix_row", *UNIT, "context", "mention_count", "unique_node_count")
 
 
-def incidence(mentions: DataFrame) -> DataFrame:
+def incidence(mentions: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """Entries (matrix_row, matrix_index, value 1) of the binary matrix of sentences and nodes."""
-    once = mentions.select(*UNIT, "canonical_id").distinct()
-    return once.join(sentences(mentions).select("matrix_row", *UNIT), UNIT).join(indices(mentions), "canonical_id").select("matrix_row", "matrix_index", F.lit(1).alias("value"))
-
-
-def _indexed(mentions: DataFrame, rich: bool) -> DataFrame:
-    once = presences(mentions) if rich else mentions.select(*UNIT, "canonical_id").distinct()
-    return once.join(indices(mentions), "canonical_id")
+    once = once if once is not None else units(mentions)
+    return once.join(sentence_rows(once), UNIT).join(indices(once), "canonical_id").select("matrix_row", "matrix_index", F.lit(1).alias("value"))
 
 
-def _pairs(indexed: DataFrame) -> DataFrame:
+def _pairs(once: DataFrame, *carried: str) -> DataFrame:
+    indexed = once.select(*UNIT, "canonical_id", *carried).join(indices(once), "canonical_id").drop("canonical_id")
     side = lambda p: indexed.select(*UNIT, *(F.col(c).alias(f"{p}_{c}") for c in indexed.columns if c not in UNIT))
     return side("source").join(side("target"), UNIT).where("source_matrix_index < target_matrix_index").withColumnsRenamed({"source_matrix_index": "source_index", "target_matrix_index": "target_index"})
 
 
-def edges(mentions: DataFrame) -> DataFrame:
+def edges(mentions: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """source_index < target_index, sentence_count (the weight) and document_count."""
-    return _pairs(_indexed(mentions, False)).groupBy("source_index", "target_index").agg(F.count(F.lit(1)).alias("sentence_count"), F.count_distinct("document_id").alias("document_count"))
+    pairs = _pairs(once if once is not None else units(mentions))
+    return pairs.groupBy("source_index", "target_index").agg(F.count(F.lit(1)).alias("sentence_count"), F.count_distinct("document_id").alias("document_count"))
 
 
-def observations(mentions: DataFrame) -> DataFrame:
-    """One row for each edge and unit with both sides' mention counts, texts and ambiguities joined by ' | '."""
+def observations(mentions: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """One row for each edge and unit with both sides' mention counts, texts and ambiguities joined by ' | '; once is units with texts."""
+    once = once if once is not None else units(mentions, texts=True)
     said = lambda c: F.array_join(c, " | ").alias(c)
-    p = _pairs(_indexed(mentions, True)).join(sentences(mentions).select(F.col("matrix_row").alias("sentence_row"), *UNIT), UNIT)
+    p = _pairs(once, "mention_count", "texts", "ambiguities").join(sentence_rows(once).withColumnRenamed("matrix_row", "sentence_row"), UNIT)
     return p.select("source_index", "target_index", "sentence_row", *UNIT, "source_mention_count", "target_mention_count", *(said(f"{s}_{c}") for c in ("texts", "ambiguities") for s in ("source", "target")))
 
 
@@ -163,11 +180,11 @@ def category_pairs(edge_list: DataFrame, node_list: DataFrame) -> DataFrame:
 
 def summary(mentions: DataFrame) -> DataFrame:
     """One row: the counts of the run, nodes by category, mentions by ambiguity."""
-    n = nodes(mentions)
+    once = units(mentions)
+    n = nodes(mentions, once)
     per_node = n.agg(F.sum("mention_count").alias("database_mentions"), F.count(F.lit(1)).alias("canonical_nodes"), *(F.count_if(F.col("category") == c).alias(f"nodes_{c}") for c in S.CATEGORIES), *(F.sum(f"ambiguity_{a}").alias(f"mentions_{a}") for a in (*S.AMBIGUITIES, "other")))
-    units = mentions.select(*UNIT, "canonical_id").distinct().groupBy(*UNIT).count()
-    per_unit = units.agg(F.count(F.lit(1)).alias("sentences"), F.sum("count").alias("sentence_node_presences"), F.sum(F.floor(F.col("count") * (F.col("count") - 1) / 2)).cast("long").alias("edge_observations"))
-    per_edge = edges(mentions).agg(F.count(F.lit(1)).alias("undirected_edges"), F.coalesce(F.sum("sentence_count"), F.lit(0)).alias("total_sentence_cooccurrences"), F.coalesce(F.max("sentence_count"), F.lit(0)).alias("max_edge_weight"))
+    per_unit = once.groupBy(*UNIT).count().agg(F.count(F.lit(1)).alias("sentences"), F.sum("count").alias("sentence_node_presences"), F.sum(F.floor(F.col("count") * (F.col("count") - 1) / 2)).cast("long").alias("edge_observations"))
+    per_edge = edges(mentions, once).agg(F.count(F.lit(1)).alias("undirected_edges"), F.coalesce(F.sum("sentence_count"), F.lit(0)).alias("total_sentence_cooccurrences"), F.coalesce(F.max("sentence_count"), F.lit(0)).alias("max_edge_weight"))
     # Three rows of one line each.
     return per_node.crossJoin(per_unit).crossJoin(per_edge)
 

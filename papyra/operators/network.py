@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from papyra import schemas as S
 from papyra.functions.text import casefold
 from papyra.operators.components import connected_components
+from papyra.operators.ordering import with_index
+from papyra.plans.durable import checkpointed
 
 ENDS = ("source_canonical_id", "target_canonical_id")
 TOP, MANY_NODES, LABELS = 10, 80, 25
@@ -43,17 +44,20 @@ def components(core: DataFrame, nodes: DataFrame, isolates: bool = False) -> Dat
     """canonical_id, component (from 1) and component_size, larger components first, then by their sorted folded names.
 
     With isolates every node without an edge is a component of its own. Names are
-    compared for components of one size only; the ranking itself has one row for
-    each component.
+    gathered for components of a size that another has too, which the largest of a
+    corpus hasn't.
     """
     found = connected_components(core, *ENDS).select(F.col("node").alias("canonical_id"), F.col("component").alias("root"))
     if isolates:
         found = nodes.select("canonical_id").join(found, "canonical_id", "left").withColumn("root", F.coalesce("root", "canonical_id"))
-    named = found.join(nodes.select("canonical_id", casefold("canonical_name").alias("_n")), "canonical_id")
-    each = named.groupBy("root").agg(F.count(F.lit(1)).alias("component_size"), F.array_sort(F.collect_list("_n")).alias("_names"))
-    order = Window.orderBy(F.desc("component_size"), "_names", "root")
-    ranked = each.withColumn("component", F.row_number().over(order)).drop("_names")
-    return named.join(ranked, "root").select("canonical_id", "component", "component_size")
+    found = checkpointed(found)
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("component_size"))
+    tied = sizes.join(sizes.groupBy("component_size").count().where("count > 1").select("component_size"), "component_size")
+    names = found.join(tied.select("root"), "root").join(nodes.select("canonical_id", casefold("canonical_name").alias("_n")), "canonical_id")
+    names = names.groupBy("root").agg(F.array_sort(F.collect_list("_n")).alias("_names"))
+    order = (F.desc("component_size"), F.col("_names"), F.col("root"))
+    ranked = with_index(sizes.join(names, "root", "left"), "_r", *order).select("root", "component_size", (F.col("_r") + 1).cast("int").alias("component"))
+    return found.join(ranked, "root").select("canonical_id", "component", "component_size")
 
 
 def core_nodes(core: DataFrame, nodes: DataFrame, isolates: bool = False) -> DataFrame:

@@ -25,9 +25,10 @@ def export_cooccurrence(mentions: DataFrame, folder: str, document_id: str, sour
     rules.enforce(rules.mention_rules(mentions).union(rules.context_rules(mentions)))
     if mentions.isEmpty():
         raise rules.RuleError("no mentions")
-    nodes, sentences, edges = checkpointed(C.nodes(mentions)), checkpointed(C.sentences(mentions)), checkpointed(C.edges(mentions))
+    once = C.units(mentions, texts=True)
+    nodes, sentences, edges = checkpointed(C.nodes(mentions, once)), checkpointed(C.sentences(mentions)), checkpointed(C.edges(mentions, once))
     table = C.edge_table(edges, nodes)
-    obs = checkpointed(C.observations(mentions))
+    obs = checkpointed(C.observations(mentions, once))
     ends = lambda p: nodes.select(F.col("matrix_index").alias(f"{p}_index"), F.col("canonical_id").alias(f"{p}_canonical_id"), F.col("canonical_name").alias(f"{p}_name"), F.col("category").alias(f"{p}_category"))
     named = obs.join(ends("source"), "source_index").join(ends("target"), "target_index").select("source_index", "target_index", "source_canonical_id", "target_canonical_id", "source_name", "target_name", "source_category", "target_category", *obs.columns[2:])
     sinks.csv_file(nodes.orderBy("matrix_index"), f"{folder}/nodes.csv")
@@ -37,7 +38,7 @@ def export_cooccurrence(mentions: DataFrame, folder: str, document_id: str, sour
     pairs = C.category_pairs(edges, nodes)
     sinks.csv_file(pairs.orderBy(S.rank_of("source_category", S.CATEGORIES), S.rank_of("target_category", S.CATEGORIES)), f"{folder}/category_pair_summary.csv")
     n, m = nodes.count(), sentences.count()
-    sinks.matrix_market(C.incidence(mentions), f"{folder}/sentence_node_incidence.mtx", m, n, "Matriz binaria oración x entidad canónica", "matrix_row", "matrix_index")
+    sinks.matrix_market(C.incidence(mentions, once), f"{folder}/sentence_node_incidence.mtx", m, n, "Matriz binaria oración x entidad canónica", "matrix_row", "matrix_index")
     sinks.matrix_market(C.adjacency(edges), f"{folder}/cooccurrence_adjacency.mtx", n, n, "Matriz simétrica de coocurrencia; diagonal igual a cero")
     members, cells = checkpointed(C.group_members(nodes)), checkpointed(C.block_entries(edges, nodes))
     for g in S.GROUPS:
@@ -142,8 +143,9 @@ def export_audit(entities: DataFrame, stored: DataFrame, registry: DataFrame, al
     for name, frame in (("convergences", A.convergences(rows)), ("splits", A.splits(rows)), ("created", A.created(rows))):
         sinks.csv_file(frame, f"{folder}/{name}.csv", False)
     for name, m in (("before", stored), ("after", after)):
-        nodes = checkpointed(C.nodes(m))
-        table = checkpointed(C.edge_table(C.edges(m), nodes))
+        once = C.units(m)
+        nodes = checkpointed(C.nodes(m, once))
+        table = checkpointed(C.edge_table(C.edges(m, once), nodes))
         about[name] = A.network_summary(nodes, table).first().asDict()
         sinks.csv_file(A.heavy_edges(table), f"{folder}/g3_edges_{name}.csv", False)
     sinks.json_file(spark, about, f"{folder}/summary.json")

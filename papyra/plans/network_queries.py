@@ -10,6 +10,7 @@ from papyra.operators import cooccurrence as C
 from papyra.operators import network as N
 from papyra.operators import rules as R
 from papyra.plans import views as V
+from papyra.plans.durable import checkpointed
 from papyra.plans.registry import query
 
 
@@ -61,6 +62,13 @@ def _m(spark, d):
     return V.mentions(spark, d)
 
 
+def _network(spark, d):
+    """Edges and nodes from one pass over the mentions."""
+    m = _m(spark, d)
+    once = C.units(m)
+    return C.edges(m, once), C.nodes(m, once)
+
+
 @query(_x("WITH " + _M + _NODES, "SELECT matrix_index, category_index, CAST(row_number() OVER (PARTITION BY layer ORDER BY matrix_index) - 1 AS BIGINT) AS layer_index, canonical_id, canonical_name, category, layer, mention_count, sentence_count, document_count, ambiguity_low, ambiguity_medium, ambiguity_high, ambiguity_other FROM n"))
 def cooc_nodes(spark, d):
     return C.nodes(_m(spark, d))
@@ -99,22 +107,19 @@ def cooc_adjacency(spark, d):
 
 @query(_x(_ALL + _TABLE, "SELECT source_index, target_index, source_canonical_id, target_canonical_id, source_name, target_name, source_category, target_category, source_layer, target_layer, category_pair, layer_pair, sentence_count, document_count FROM t"))
 def cooc_edge_table(spark, d):
-    m = _m(spark, d)
-    return C.edge_table(C.edges(m), C.nodes(m))
+    return C.edge_table(*_network(spark, d))
 
 
 @query(_x(_ALL + _GROUPS, "SELECT * FROM cells"))
 def cooc_blocks(spark, d):
-    m = _m(spark, d)
-    return C.block_entries(C.edges(m), C.nodes(m))
+    return C.block_entries(*_network(spark, d))
 
 
 @query(_x(_ALL + _GROUPS, """SELECT b.matrix, b.matrix || '.mtx' AS filename, b.row_group, b.column_group, (SELECT count(*) FROM gm WHERE grp = b.row_group) AS rows, (SELECT count(*) FROM gm WHERE grp = b.column_group) AS columns,
  count(c.value) AS nonzero_cells, CAST(count(c.value) / CASE WHEN b.row_group = b.column_group THEN 2 ELSE 1 END AS BIGINT) AS undirected_edge_count,
  CAST(coalesce(sum(c.value), 0) / CASE WHEN b.row_group = b.column_group THEN 2 ELSE 1 END AS BIGINT) AS total_sentence_cooccurrences FROM b LEFT JOIN cells c USING (matrix) GROUP BY b.matrix, b.row_group, b.column_group"""))
 def cooc_block_manifest(spark, d):
-    m = _m(spark, d)
-    return C.block_manifest(C.edges(m), C.nodes(m))
+    return C.block_manifest(*_network(spark, d))
 
 
 @query(_x(_ALL + _TABLE, """, r(c, k) AS (VALUES ('CHAR', 0), ('PRAC', 1), ('INFRA', 2), ('GOV', 3), ('LOC', 4)), z AS (SELECT category AS c, count(*) AS k FROM n GROUP BY 1),
@@ -123,8 +128,7 @@ w AS (SELECT category_pair, count(*) AS k, CAST(sum(sentence_count) AS BIGINT) A
 f AS (SELECT p.*, CAST(CASE WHEN source_category = target_category THEN source_nodes * (source_nodes - 1) // 2 ELSE source_nodes * target_nodes END AS BIGINT) AS possible_pairs, coalesce(k, 0) AS observed_edges, coalesce(s, 0) AS total, coalesce(mx, 0) AS mx FROM p LEFT JOIN w ON category_pair = source_category || '--' || target_category)
 SELECT source_category, target_category, source_nodes, target_nodes, possible_pairs, observed_edges, CASE WHEN possible_pairs > 0 THEN round_even(observed_edges / possible_pairs, 8) ELSE 0.0 END AS density, total AS total_sentence_cooccurrences, CASE WHEN observed_edges > 0 THEN round_even(total / observed_edges, 6) ELSE 0.0 END AS mean_weight_observed_edges, mx AS max_weight FROM f"""))
 def cooc_category_pairs(spark, d):
-    m = _m(spark, d)
-    return C.category_pairs(C.edges(m), C.nodes(m))
+    return C.category_pairs(*_network(spark, d))
 
 
 @query(_x(_ALL, """SELECT (SELECT count(*) FROM m) AS database_mentions, (SELECT count(*) FROM n) AS canonical_nodes, """ + ", ".join(f"(SELECT count(*) FROM n WHERE category = '{c}') AS \"nodes_{c}\"" for c in S.CATEGORIES) + ", " + ", ".join(f"(SELECT CAST(sum(ambiguity_{a}) AS BIGINT) FROM n) AS mentions_{a}" for a in ("low", "medium", "high", "other")) + """,
@@ -142,10 +146,12 @@ def mentions_multiset_diff(spark, d):
     return C.multiset_difference(a, a.withColumn("ambiguity", F.when(F.col("start") != 100, F.col("ambiguity"))))
 
 
-def _dense(spark, d):
+def _dense(spark, d, texts=False):
+    """What its units are made from, nodes and edges of a network of few nodes."""
     m = V.mentions(spark, d, "l_suppkey")
-    nodes = C.nodes(m)
-    return m, nodes, C.edge_table(C.edges(m), nodes)
+    once = C.units(m, texts)
+    nodes = checkpointed(C.nodes(m, once))
+    return (m, once), nodes, C.edge_table(C.edges(m, once), nodes)
 
 
 _DALL = "WITH RECURSIVE " + _DENSE + _NODES + _EDGES + _TABLE + f"k AS (SELECT * FROM t WHERE sentence_count >= {_HEAVY}),\nds AS (SELECT canonical_id, count(*) AS degree, CAST(sum(w) AS BIGINT) AS strength FROM (SELECT source_canonical_id AS canonical_id, sentence_count AS w FROM k UNION ALL SELECT target_canonical_id, sentence_count FROM k) GROUP BY 1),\n"
@@ -170,7 +176,7 @@ def core_degree_strength(spark, d):
 
 def _core(spark, d, isolates=False):
     _, nodes, table = _dense(spark, d)
-    core = N.core_edges(table, _HEAVY)
+    core = checkpointed(N.core_edges(table, _HEAVY))
     return core, N.core_nodes(core, nodes, isolates)
 
 
@@ -206,7 +212,7 @@ def core_category_counts(spark, d):
 
 def _observed(m, nodes):
     side = lambda p: nodes.select(F.col("matrix_index").alias(f"{p}_index"), F.col("canonical_id").alias(f"{p}_canonical_id"))
-    return C.observations(m).join(side("source"), "source_index").join(side("target"), "target_index")
+    return C.observations(*m).join(side("source"), "source_index").join(side("target"), "target_index")
 
 
 _EV = """p AS (SELECT document_id, sentence_id, canonical_id, array_to_string(list_sort(list(DISTINCT text)), ' | ') AS texts, array_to_string(list_sort(list(DISTINCT ambiguity)), ' | ') AS ambiguities FROM m GROUP BY ALL),
@@ -218,15 +224,15 @@ ev AS (SELECT least(x.canonical_id, y.canonical_id) AS a, greatest(x.canonical_i
 
 @query(_x(_DALL + _EV, "SELECT * FROM ev"))
 def core_evidence(spark, d):
-    m, nodes, table = _dense(spark, d)
-    return N.evidence(N.core_edges(table, _HEAVY), _observed(m, nodes), C.sentences(m))
+    m, nodes, table = _dense(spark, d, texts=True)
+    return N.evidence(N.core_edges(table, _HEAVY), _observed(m, nodes), C.sentences(m[0]))
 
 
 @query(_x(_DALL + _EV, "SELECT k.source_canonical_id, k.target_canonical_id, source_name, target_name, source_category, target_category, category_pair, layer_pair, sentence_count, (SELECT count(*) FROM ev WHERE ev.a = least(k.source_canonical_id, k.target_canonical_id) AND ev.b = greatest(k.source_canonical_id, k.target_canonical_id)) AS evidence_count FROM k"))
 def core_edge_export(spark, d):
-    m, nodes, table = _dense(spark, d)
+    m, nodes, table = _dense(spark, d, texts=True)
     core = N.core_edges(table, _HEAVY)
-    return N.edge_export(core, N.evidence(core, _observed(m, nodes), C.sentences(m)))
+    return N.edge_export(core, N.evidence(core, _observed(m, nodes), C.sentences(m[0])))
 
 
 @query(_x(_DALL, "SELECT n.canonical_id, round_even(8.0 + 9.0 * sqrt(strength / (SELECT max(strength) FROM ds)), 2) AS radius, 520.0 + 1180.0 * sqrt(strength / (SELECT max(strength) FROM ds)) AS size FROM n JOIN ds USING (canonical_id)"))

@@ -216,15 +216,14 @@ def doc_by_status(spark, d):
     return L.by_status(V.documents(spark, d), "cleaned").select("id")
 
 
-@query(f"""WITH {_DOC}, i AS (SELECT id FROM doc WHERE doc_id % 2 = 0 UNION ALL SELECT 'absent')
+@query(f"""WITH {_DOC}, i AS (SELECT id FROM doc UNION ALL SELECT 'absent')
 SELECT i.id, status AS old_status, CASE status WHEN 'fuzzyMatching' THEN 'ner' WHEN 'ner' THEN 'cleaned' WHEN 'cleaned' THEN 'converted' WHEN 'converted' THEN 'raw' END AS new_status,
  CASE WHEN status NOT IN ('ner', 'cleaned') THEN ner_path END AS ner_path, CASE WHEN status <> 'cleaned' THEN cleaned_path END AS cleaned_path, CASE WHEN status <> 'converted' THEN converted_path END AS converted_path,
  concat_ws(' | ', CASE WHEN status IN ('ner', 'cleaned') THEN ner_path END, CASE WHEN status = 'cleaned' THEN cleaned_path END, CASE WHEN status = 'converted' THEN converted_path END) AS delete_files,
  coalesce(status IN ('ner', 'cleaned'), false) AS delete_mentions, CAST(CASE WHEN status IS NULL THEN 404 WHEN status = 'raw' THEN 409 END AS INTEGER) AS code FROM i LEFT JOIN doc USING (id)""")
 def doc_revert_plan(spark, d):
     docs = V.documents(spark, d)
-    ids = docs.where("cast(id as long) % 2 = 0").select("id").union(spark.createDataFrame([("absent",)], "id string"))
-    return L.reverted(docs, ids)
+    return L.reverted(docs, docs.select("id").union(spark.createDataFrame([("absent",)], "id string")))
 
 
 @query(f"""WITH {_DOC}, i AS (SELECT id FROM doc UNION ALL SELECT 'absent') SELECT i.id, CAST(CASE WHEN status IS NULL THEN 404 WHEN status <> 'cleaned' THEN 409 WHEN cleaned_path IS NULL THEN 500 END AS INTEGER) AS code,
