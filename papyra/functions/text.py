@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ def collapse(x) -> Column:
     return strip(F.regexp_replace(_c(x), r"(?U)\s+", " "))
 
 
+def let(x, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f names it."""
+    return F.get(F.transform(F.array(_c(x)), f), F.lit(0))
+
+
+def holding(x: Column, parts) -> Column:
+    """Those of the literal parts that stand somewhere in x."""
+    return F.filter(F.array(*(F.lit(p) for p in parts)), lambda p: F.contains(x, p))
+
+
 def words(x) -> Column:
     """The words between white space; none for blank text."""
     return F.filter(F.split(_c(x), r"(?U)\s+"), lambda w: w != "")

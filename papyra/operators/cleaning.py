@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from papyra.functions import fixed as X
 from papyra.functions.markdown import markdown_to_text
-from papyra.functions.text import collapse, strip, words
+from papyra.functions.text import collapse, holding, let, strip, words
 
 #: A line of at most this many words is short; a line seen this often in a document recurs.
 SHORT_WORDS, RECURS = 5, 3
@@ -62,8 +62,13 @@ def without_pictures(text) -> Column:
 
 
 def is_upper(line: Column) -> Column:
-    letters = F.regexp_replace(line, "[^a-zA-ZÁÉÍÓÚÑáéíóúñ]", "")
-    return (letters != "") & (letters == F.upper(letters))
+    """It has letters, and none of them is small."""
+    return line.rlike("[A-ZÁÉÍÓÚÑ]") & ~line.rlike("[a-záéíóúñ]")
+
+
+def fewer_words(line: str | Column, n: int) -> Column:
+    """Whether a stripped line has fewer than n words; the split stops at n."""
+    return F.size(F.split(line, r"(?U)\s+", n)) < n
 
 
 def recurring_rule(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -74,8 +79,7 @@ def recurring_rule(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     key that hasn't been seen yet.
     """
     by_key = Window.partitionBy(key, "_key")
-    ordered = Window.partitionBy(key).orderBy("pos")
-    short = (F.size(words("_key")) <= SHORT_WORDS) & ~F.col("_key").endswith(".") & (F.col("_key") != "")
+    short = fewer_words("_key", SHORT_WORDS + 1) & ~F.col("_key").endswith(".") & (F.col("_key") != "")
     upper = is_upper(strip("line")) & (F.col("_key") != "")
     r = rows.withColumn("_key", F.lower(strip("line")))
     r = r.withColumn("_short", F.count_if(short).over(by_key) >= RECURS).withColumn("_upper", F.count_if(upper).over(by_key) >= RECURS)
@@ -103,7 +107,9 @@ def table_rule(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def without_contacts(text) -> Column:
     """E-mail addresses, then URLs, then telephone numbers become a space each."""
-    for p in (X.EMAIL, X.URL, X.PHONE):
+    mails = lambda t: F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, X.EMAIL, " ")).otherwise(t)
+    text = let(text, mails)
+    for p in (X.URL, X.PHONE):
         text = F.regexp_replace(text, p, " ")
     return text
 
@@ -124,23 +130,29 @@ def _titled(line: Column, titles) -> Column:
 
 
 def address(line: Column) -> Column:
-    tokens, postal = words(F.translate(F.lower(line), ",.", "  ")), _set(X.POSTAL)
-    dotted = F.transform(F.array_intersect(F.transform(tokens, lambda t: F.concat(t, F.lit("."))), postal), lambda t: F.regexp_replace(t, r"\.$", ""))
-    hits = F.array_union(F.array_intersect(tokens, postal), dotted)
-    numbers = F.filter(tokens, lambda t: t.rlike(r"^\p{Nd}+$"))
-    ratio = F.try_divide(F.size(F.array_union(hits, numbers)), F.size(tokens))
-    begins, digit = F.lower(line).rlike("^" + _any(X.POSTAL)), line.rlike(r"\p{Nd}")
-    judged = F.coalesce((F.size(hits) >= 1) & (((F.size(hits) >= 2) & (ratio >= 0.5)) | (digit & ((ratio >= 0.5) | begins))), F.lit(False))
-    # Most lines have no such word anywhere, which one look tells.
-    return F.when(F.lower(line).rlike(_any(p.rstrip(".") for p in X.POSTAL)), judged).otherwise(False)
+    postal, plain = _set(X.POSTAL), _set(dict.fromkeys(p.rstrip(".") for p in X.POSTAL))
+
+    def judged(tokens: Column, hits: Column) -> Column:
+        numbers = F.filter(tokens, lambda t: t.rlike(r"^\p{Nd}+$"))
+        begins, digit = F.lower(line).rlike("^" + _any(X.POSTAL)), line.rlike(r"\p{Nd}")
+        decide = lambda ratio: ((F.size(hits) >= 2) & (ratio >= 0.5)) | (digit & ((ratio >= 0.5) | begins))
+        return F.coalesce(let(F.try_divide(F.size(F.array_union(hits, numbers)), F.size(tokens)), decide), F.lit(False))
+
+    def found(tokens: Column) -> Column:
+        dotted = F.transform(F.array_intersect(F.transform(tokens, lambda t: F.concat(t, F.lit("."))), postal), lambda t: F.regexp_replace(t, r"\.$", ""))
+        return F.array_union(F.array_intersect(tokens, postal), dotted)
+
+    # Most lines have no such word, which one look tells.
+    look = lambda tokens: F.when(F.arrays_overlap(tokens, plain), let(found(tokens), lambda hits: judged(tokens, hits))).otherwise(False)
+    return let(words(F.translate(F.lower(line), ",.", "  ")), look)
 
 
 def _author_line(line: Column, before: Column) -> Column:
-    low = F.lower(line)
-    found = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(rf"((?U)\b{_any(X.INSTITUTIONS)}\b)"), 1)))
-    header = F.lower(before).rlike(_any(X.AUTHOR_HEADERS))
+    whole = lambda low: F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(rf"((?U)\b{_any(X.INSTITUTIONS)}\b)"), 1)))
+    two = let(F.lower(line), lambda low: F.when(F.size(holding(low, X.INSTITUTIONS)) >= 2, whole(low) >= 2).otherwise(False))
+    header = let(F.lower(before), lambda low: F.size(holding(low, X.AUTHOR_HEADERS)) > 0)
     mails = F.when(line.contains("@"), F.regexp_count(line, F.lit(X.EMAIL))).otherwise(0)
-    return line.contains("©") | (mails >= 2) | (found >= 2) | (header & name_list(line))
+    return line.contains("©") | (mails >= 2) | two | (header & name_list(line))
 
 
 def noise_rule(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -161,8 +173,9 @@ def noise_rule(rows: DataFrame, key: str = "doc_id") -> DataFrame:
         .when(line.rlike(X.ANNEX), "clears").when(editorial, "sets").when(legal, "sets").when(line.rlike(X.INDEX_ROW), "clears").when(line.rlike(X.PHOTO_CREDIT), "sets")
         .when(_author_line(line, F.col("_before")), "sets").when(name_list(line), "names")
     )
-    other = F.when(address(line), "clears").when((F.size(words(line)) < 4) & ~line.endswith("."), "clears").otherwise("kept")
-    r = r.withColumn("_kind", F.coalesce(kind, other)).withColumn("_else", other)
+    other = F.when(fewer_words(line, 4) & ~line.endswith("."), "clears").when(address(line), "clears").otherwise("kept")
+    r = r.withColumn("_kind", kind)
+    r = r.withColumn("_else", F.when(F.col("_kind").isNull() | (F.col("_kind") == "names"), other)).withColumn("_kind", F.coalesce("_kind", "_else"))
     left = F.when(F.col("_kind") == "sets", True).when(F.col("_kind").isin("clears", "kept"), False)
     seen = F.coalesce(F.last(left, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     # A name list either carries the flag on or, without it, is judged as any line; then it clears a flag that is clear.

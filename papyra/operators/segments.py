@@ -26,7 +26,8 @@ def sentence_id(start: Column) -> Column:
 
 def is_boundary(before: Column, separator: Column, after: Column) -> Column:
     """Whether a separator ends a sentence, given the text before and after it."""
-    token = casefold(F.regexp_extract(before, r"(?U)(\S+)\s*$", 1))
+    # Read from the end: the greedy start leaves only the last token to try.
+    token = casefold(F.regexp_extract(before, r"(?sU)^.*(?<!\S)(\S+)\s*$", 1))
     short = token.isin(*X.ABBREVIATIONS) | token.rlike(r"^[a-záéíóúñ]\.$")
     lower = F.regexp_extract(after, r"(?U)^\s*(\S)", 1).rlike(r"^\p{IsLowercase}$")
     return F.contains(separator, F.lit("\n\n")) | (~short & ~lower)
