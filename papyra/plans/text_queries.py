@@ -158,7 +158,14 @@ def sentence_stats(spark, d):
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.length("text")).cast("long").alias("longest"), F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).alias("words"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_PARAGRAPHS}, z AS (SELECT doc_id, string_agg(p, E'\n\n' ORDER BY pos) AS t FROM v GROUP BY doc_id),
+o AS (SELECT doc_id, pos, p, coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM v),
+q AS (SELECT doc_id, off + length(p) - length(regexp_replace(p, '^\s+', '')) AS a, off + length(p) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM o WHERE {_strip('p')} <> ''),
+k AS (SELECT doc_id, r, a, b, 1 AS n, 0 AS c FROM q WHERE r = 1
+ UNION ALL SELECT q.doc_id, q.r, CASE WHEN q.b - k.a > 4000 OR k.n >= 3 THEN q.a ELSE k.a END, q.b, CASE WHEN q.b - k.a > 4000 OR k.n >= 3 THEN 1 ELSE k.n + 1 END, CASE WHEN q.b - k.a > 4000 OR k.n >= 3 THEN k.c + 1 ELSE k.c END FROM k JOIN q ON q.doc_id = k.doc_id AND q.r = k.r + 1),
+s AS (SELECT doc_id, c AS n, min(a) AS a, max(b) AS b FROM k GROUP BY 1, 2)
+SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(a AS INTEGER) AS start, substr(t, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) AS chunk FROM s JOIN z USING (doc_id)
+UNION ALL SELECT doc_id, 0, 0, t FROM z WHERE doc_id NOT IN (SELECT doc_id FROM q)""")
 def annotator_chunks(spark, d):
     return G.chunks(V.paragraphs(spark, d), 4000)
 
@@ -181,20 +188,30 @@ def annotation_validate(spark, d):
     return A.validated(a, s).select("doc_id", "arrival", "label", "span", "sentence_id", "ambiguity", "at", "context")
 
 
-@query()
+_ALIGNED = rf"""WITH {_SENTENCES}, w AS (SELECT *, 's-' || lpad(CAST(start AS VARCHAR), 9, '0') AS sentence_id, string_split_regex(text, '\s+') AS w FROM sentence),
+ends AS (SELECT doc_id, sentence_id, start, text, w[1] AS one, w[-1] AS last, length(w[1]) AS n1, length(w[-1]) AS nl FROM w),
+second AS (SELECT *, list_filter(range(n1, length(text) - nl + 1), lambda p: substr(text, p + 1, nl) = last)[1] AS pl FROM ends),
+third AS (SELECT *, list_filter(range(n1, length(text) - n1 + 1), lambda p: substr(text, p + 1, n1) = one AND (pl IS NULL OR p + n1 <= pl OR p >= pl + nl))[1] AS p2 FROM second),
+placed AS (SELECT doc_id, one AS text, 'CHAR' AS category, start, n1 AS n, 0 AS p, sentence_id, text AS context, 'low' AS ambiguity, 0 AS arrival FROM third
+ UNION ALL SELECT doc_id, last, 'LOC', start, nl, pl, sentence_id, text, 'low', 1 FROM third WHERE pl IS NOT NULL UNION ALL SELECT doc_id, one, 'PRAC', start, n1, p2, sentence_id, text, 'high', 4 FROM third WHERE p2 IS NOT NULL)
+SELECT doc_id, text, category, CAST(start + p AS INTEGER) AS start, CAST(start + p + n AS INTEGER) AS "end", sentence_id, context, ambiguity, arrival FROM placed"""
+
+
+@query(_ALIGNED)
 def annotation_align(spark, d):
     a, s = _annotations(spark, d)
     return A.aligned(a, s)
 
 
-@query()
+@query(_ALIGNED)
 def annotation_merge(spark, d):
     a, s = _annotations(spark, d)
     e = A.aligned(a, s).withColumn("chunk", F.lit(0))
     return A.merged(e.union(e.withColumn("chunk", F.lit(1)))).drop("chunk")
 
 
-@query()
+@query(f"""WITH {_SENTENCES} SELECT doc_id, CAST(to_json({{'document_id': CAST(doc_id AS VARCHAR), 'document_title': '', 'section_title': '',
+ 'sentences': list({{'sentence_id': 's-' || lpad(CAST(start AS VARCHAR), 9, '0'), 'text': text}} ORDER BY start)}}) AS VARCHAR) AS request FROM sentence GROUP BY doc_id""")
 def annotation_requests(spark, d):
     return A.requests(G.sentences(_docs(spark, d)))
 
