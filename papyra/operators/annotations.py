@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 from papyra import schemas as S
 from papyra.functions.text import strip
+from papyra.operators import segments
+from papyra.plans.durable import checkpointed
 
 ANNOTATION = "array<struct<label:string,text:string,sentence_id:string,ambiguity:string>>"
 #: The shape of an annotator's answer.
@@ -35,12 +37,12 @@ TOOL_SCHEMA = {
 }
 
 
-def requests(sentences: DataFrame, key: str = "doc_id", title: Column | None = None, section: Column | None = None) -> DataFrame:
-    """key, request: a JSON object with the document and its sentences in order."""
+def requests(sentences: DataFrame, key: str = "doc_id", title: Column | None = None, section: Column | None = None, document: Column | None = None) -> DataFrame:
+    """key, request: a JSON object with the document (the key, where not given) and its sentences in order."""
     listed = F.array_sort(F.collect_list(F.struct("start", "sentence_id", "text")))
     g = sentences.groupBy(key).agg(listed.alias("s"))
     bare = F.transform("s", lambda x: F.struct(x["sentence_id"].alias("sentence_id"), x["text"].alias("text")))
-    return g.select(key, F.to_json(F.struct(F.col(key).cast("string").alias("document_id"), (title if title is not None else F.lit("")).alias("document_title"), (section if section is not None else F.lit("")).alias("section_title"), bare.alias("sentences"))).alias("request"))
+    return g.select(key, F.to_json(F.struct((document if document is not None else F.col(key)).cast("string").alias("document_id"), (title if title is not None else F.lit("")).alias("document_title"), (section if section is not None else F.lit("")).alias("section_title"), bare.alias("sentences"))).alias("request"))
 
 
 def annotate(request_rows: DataFrame, annotator: Callable[[str], list[dict]], key: str = "doc_id") -> DataFrame:
@@ -112,6 +114,25 @@ def merged(entities: DataFrame, key: str = "doc_id", chunk: str = "chunk") -> Da
     return entities.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def extracted(docs: DataFrame, annotator: Callable[[str], list[dict]], key: str = "doc_id", max_chars: int = segments.MAX_CHARS, max_paragraphs: int = segments.MAX_PARAGRAPHS) -> tuple[DataFrame, DataFrame]:
+    """Entities of whole documents, and the chunks (key, chunk, error) that the annotator failed on.
+
+    Each document is cut into chunks, each chunk's sentences are one request, and what
+    comes back is validated against the sentences of that chunk, placed and merged.
+    Offsets and sentence ids are those of the document. The annotator is asked once.
+    A null or blank text has no request and no entity.
+    """
+    chunk = F.struct(F.col(key).alias("k"), F.col("n"), F.col("start").alias("at")).alias("_chunk")
+    cut = segments.chunks(docs.select(key, "text"), max_chars, max_paragraphs, key).select(chunk, F.col("chunk").alias("text"))
+    start = F.col("_chunk.at") + F.col("start")
+    s = checkpointed(segments.sentences(cut, "_chunk").select("_chunk", segments.sentence_id(start).alias("sentence_id"), start.alias("start"), "text"))
+    said = checkpointed(annotate(requests(s, "_chunk", document=F.col("_chunk.k")), annotator, "_chunk"))
+    placed = aligned(said, s, "_chunk")
+    whole = placed.select(F.col("_chunk.k").alias(key), F.col("_chunk.n").alias("chunk"), *(c for c in placed.columns if c != "_chunk"))
+    failed = said.where("error is not null").select(F.col("_chunk.k").alias(key), F.col("_chunk.n").alias("chunk"), "error")
+    return merged(whole, key), failed
+
+
 def few_shot_rules(examples: DataFrame) -> DataFrame:
     """Violations of worked examples (id, text, annotations): rule, key."""
     a = examples.select("id", "text", F.explode("annotations").alias("a"))

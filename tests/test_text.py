@@ -144,6 +144,23 @@ def test_annotator_interface(spark):
     assert json.loads(A.demonstrations(e).where("id = 'e1'").first()["demonstration"])["expected_output"]["annotations"][0]["sentence_id"] == "e1-s1"
 
 
+def test_extraction_of_whole_documents(spark):
+    texts = ("Lima crece. Cusco no.\n\n  Puno sí. Lima también.\n\nIca.", "Falla aquí.", None, " ", "Tacna.")
+
+    def annotator(request):
+        r = json.loads(request)
+        if r["document_id"] == "1":
+            raise RuntimeError("cut off")
+        notes = [{"label": "LOC", "text": x["text"].split()[0].strip("."), "sentence_id": x["sentence_id"], "ambiguity": "low"} for x in r["sentences"]]
+        return [*notes, {"label": "LOC", "text": "Lima", "sentence_id": "s-000000000", "ambiguity": "low"}]
+
+    found, failed = A.extracted(docs(spark, *texts), annotator, max_paragraphs=1)
+    rows = found.orderBy("doc_id", "start").collect()
+    assert [(r["doc_id"], r["chunk"], r["text"]) for r in rows] == [(0, 0, "Lima"), (0, 0, "Cusco"), (0, 1, "Puno"), (0, 1, "Lima"), (0, 2, "Ica"), (4, 0, "Tacna")]
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["text"] for r in rows)
+    assert [tuple(r) for r in failed.collect()] == [(1, 0, "cut off")]
+
+
 def test_lifecycle(spark):
     rows = [(str(i), f"{i}.pdf", f"f{i}", "pdf", 1, s, i % 8 + 1, "es", None, None, "c" if i > 0 else None, "t" if i > 1 else None, "n" if i > 2 else None, None) for i, s in enumerate(("raw", "converted", "cleaned", "ner", "fuzzyMatching"))]
     from papyra import schemas as S
