@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from papyra.functions import fixed as X
 from papyra.functions import names as N
 from papyra.operators import audit as A
 from papyra.operators import lifecycle as L
@@ -37,6 +38,24 @@ def name_normalize(spark, d):
     return V.table(spark, d, "documents").select("doc_id", N.normalized(F.col("text")).alias("name"))
 
 
+def _listed(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _singular_sql(w: str) -> str:
+    irregular = " ".join(f"WHEN {w} = '{a}' THEN '{b}'" for a, b in X.IRREGULAR.items())
+    endings = " ".join(f"WHEN ends_with({w}, '{e}') AND length({w}) >= {least} THEN left({w}, length({w}) - {gone}) || '{put}'" for e, least, gone, put in N._ENDINGS)
+    return f"CASE {irregular} WHEN length({w}) <= 3 THEN {w} {endings} WHEN regexp_matches({w}, '[aeiouáéíóú]s$') THEN left({w}, length({w}) - 1) ELSE {w} END"
+
+
+_PHRASES = r"""w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'), '[^\p{L} ]', '', 'g'), ' +'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(0, greatest(coalesce(len(w), 0), 1))) AS i FROM w),
+o AS (SELECT doc_id, coalesce(doc_id % 3, 2) AS kind, CAST(i AS INTEGER) AS position, coalesce(w[i + 1], '') AS one, w[i + 2] AS two FROM i),
+ph AS (SELECT doc_id, position, CASE kind WHEN 0 THEN 'mineros ' || lower(one) WHEN 1 THEN concat_ws(' ', replace(upper(left(one, 1)), 'ẞ', 'Ss') || lower(substr(one, 2)), replace(upper(left(two, 1)), 'ẞ', 'Ss') || lower(substr(two, 2))) ELSE concat_ws(' ', one, two) END AS phrase FROM o WHERE kind = 0 OR two IS NOT NULL OR position = 0),
+pw AS (SELECT *, list_filter(string_split(phrase, ' '), lambda x: x <> '') AS ws FROM ph),
+pn AS (SELECT *, list_transform(ws, lambda x: replace(strip_accents(lower(x)), 'ß', 'ss')) AS ns, list_transform(ws, lambda x: replace(lower(x), 'ß', 'ss')) AS low FROM pw)"""
+
+
 def _phrases(spark, d):
     """The phrases of the corpus by document and position: each word made a plural actor, or each pair of words, some made persons; a lone word is a phrase too."""
     doc = V.table(spark, d, "documents")
@@ -48,12 +67,16 @@ def _phrases(spark, d):
     return p.select("doc_id", "position", F.when(kind == 0, F.concat(F.lit("mineros "), F.lower(one))).when(kind == 1, F.initcap(F.concat_ws(" ", one, two))).otherwise(F.concat_ws(" ", one, two)).alias("phrase"))
 
 
-@query()
+@query(f"""WITH {_PHRASES}, hd AS (SELECT *, {_singular_sql('low[1]')} AS head, CASE WHEN ns[2] IN {_listed(X.INFLECTION_ENDS)} THEN low[2] ELSE {_singular_sql('low[2]')} END AS second FROM pn)
+SELECT doc_id, position, phrase, CASE WHEN len(ws) > 0 AND NOT (NOT (phrase = upper(phrase) AND phrase <> lower(phrase)) AND coalesce(regexp_matches(ws[2], '^\\p{{Lu}}'), false)) AND len(list_filter(ns, lambda x: x IN {_listed((*X.ACTOR_BLOCKERS, *X.CONNECTORS))})) = 0
+ AND strip_accents(head) IN {_listed(X.ACTOR_HEADS)} THEN CASE WHEN len(ws) = 1 THEN head ELSE head || ' ' || second END END AS generic FROM hd""")
 def generic_singular(spark, d):
     return N.with_features(_phrases(spark, d), "phrase").select("doc_id", "position", "phrase", "generic")
 
 
-@query()
+@query(f"""WITH {_PHRASES}, own AS (SELECT *, list_filter(list_zip(ws, ns), lambda z: z[2] NOT IN {_listed(X.PARTICLES)}) AS own FROM pn),
+ok AS (SELECT *, len(own) > 0 AND len(list_filter(own, lambda z: NOT regexp_matches(z[1], '^\\p{{Lu}}') OR z[2] IN {_listed(X.PERSON_BLOCKERS)})) = 0 AS ok FROM own)
+SELECT doc_id, position, phrase, CASE WHEN ok THEN array_to_string(ns, ' ') END AS tokens, CASE WHEN ok THEN CAST(len(own) AS INTEGER) END AS significant FROM ok""")
 def person_tokens(spark, d):
     return N.with_features(_phrases(spark, d), "phrase").select("doc_id", "position", "phrase", F.array_join("tokens", " ").alias("tokens"), "significant")
 
