@@ -256,7 +256,10 @@ def audit_node_metrics(spark, d):
 @query(_x(_DALL, "SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM t) AS edges, (SELECT CAST(sum(sentence_count) AS BIGINT) FROM t) AS total_edge_weight, (SELECT max(sentence_count) FROM t) AS max_edge_weight, (SELECT count(*) FROM k) AS g3_edges, (SELECT CAST(sum(sentence_count) AS BIGINT) FROM k) AS g3_total_edge_weight, (SELECT count(*) FROM ds) AS g3_nodes"))
 def audit_network_summary(spark, d):
     _, nodes, table = _dense(spark, d)
-    return A.network_summary(nodes, table, _HEAVY)
+    s = A.network_summary(nodes, table, _HEAVY)
+    # A run's own summary says 0 for the weight of no edges, SQL null.
+    none = {"total_edge_weight": "edges", "max_edge_weight": "edges", "g3_total_edge_weight": "g3_edges"}
+    return s.withColumns({c: F.when(F.col(n) > 0, F.col(c)) for c, n in none.items()})
 
 
 @query(_x(_DALL, "SELECT source_canonical_id, source_name, source_category, target_canonical_id, target_name, target_category, sentence_count FROM k"))

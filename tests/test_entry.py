@@ -31,6 +31,18 @@ def test_against_sql(spark, name):
     assert sorted([show(r[c]) for c in cols] for r in df.collect()) == sorted([show(r[i]) for i in at] for r in want.fetchall())
 
 
+@pytest.mark.parametrize("orders, heavy", [(0, False), (30, False), (10**9, True)])
+def test_network_summary_without_heavy_edges(spark, tmp_path, orders, heavy):
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "part"):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        (df.where(f"l_orderkey < {orders}") if t == "lineitem" else df).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = catalog.queries()["audit_network_summary"](spark, str(tmp_path))
+    want = con.execute(catalog.oracle_sql()["audit_network_summary"]).fetchall()
+    assert [tuple(r) for r in got.collect()] == want and (want[0][got.columns.index("g3_total_edge_weight")] is not None) == heavy
+
+
 def test_imports_without_training_operators(tmp_path):
     root = Path(entry.__file__).parent
     (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
