@@ -11,6 +11,8 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +85,18 @@ def person_tokens(text: str) -> list[str] | None:
     return [n for _, n in pairs]
 
 
+def person_word(word: str) -> str | None:
+    """The normal form of a word that a person's name may hold, or None: up to six such words, not all of them particles, are a name."""
+    if word.isascii() and word.isalpha():  # most words, and their normal form is this
+        n = word.lower()
+    else:
+        words = _plain_words(word)
+        if words is None or len(words) != 1:
+            return None
+        n = normalize(word := words[0])
+    return n if n in X.PARTICLES or (word[0].isupper() and n not in X.PERSON_BLOCKERS) else None
+
+
 def significant(tokens) -> int:
     return sum(t not in X.PARTICLES for t in tokens)
 
@@ -137,6 +151,15 @@ def normalized(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else normalize(t) for t in text], dtype=object)
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def person_words(words: pa.Array) -> pa.Array:
+    """person_word of each word of lists without nulls, computed once for each distinct word of a batch."""
+    known = words.flatten().dictionary_encode()
+    normal = pa.array([person_word(w) for w in known.dictionary.to_pylist()], pa.string())
+    ends = pc.cumulative_sum(pc.list_value_length(words).cast(pa.int32()))
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), normal.take(known.indices))
+
+
 def with_features(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
     """Adds normalized, generic, tokens, significant and accents of a column, computed once for each distinct string."""
     names = FEATURES.names

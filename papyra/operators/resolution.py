@@ -64,19 +64,33 @@ def _prefixes(tokens: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda n: F.array_join(F.slice(tokens, 1, n), " "))
 
 
+def family_head(key: Column) -> Column:
+    """A number for a document and the first two words of a name, with which all of a family begin; others may share it."""
+    return F.xxhash64(DOC, F.substring_index(key, " ", 2))
+
+
 def families(forms: DataFrame) -> DataFrame:
-    """document_id, key, root: the anchors (person names of two or more significant tokens) by family.
+    """document_id, key, root, times: the anchors (person names of two or more significant tokens) by family.
 
     Being a prefix orders the anchors of a document as a forest, so a family is
-    named by the shortest anchor that is a prefix: one equi-join, no iteration.
+    named by the shortest anchor that is a prefix, by words of the normal forms. In
+    the order of their names all that begin with an anchor follow it, as no character
+    of a name sorts before the space: the last anchor of n words is the one to compare
+    the first n words with. Only letters whose normal form holds spaces make names of
+    more words than MOST_TOKENS; these are compared with all such before them. Forms
+    that are dealt out by document and `head` already aren't dealt out again.
     """
-    first = F.min_by(F.struct("tokens", "significant"), "mention_index")
-    anchors = forms.groupBy(DOC, F.col("normalized").alias("key")).agg(first.alias("f"), F.count(F.lit(1)).alias("times")).where("f.significant >= 2")
-    anchors = anchors.select(DOC, "key", F.col("f.tokens").alias("tokens"), "times").withColumn("path", F.array_join("tokens", " "))
-    up = anchors.select(DOC, "key", F.posexplode(_prefixes("tokens")).alias("n", "up"))
-    found = up.join(anchors.select(DOC, F.col("path").alias("up")).distinct(), [DOC, "up"])
-    roots = found.groupBy(DOC, "key").agg(F.min_by("up", "n").alias("root"))
-    return anchors.join(roots, [DOC, "key"]).select(DOC, "key", "root", "times")
+    if "head" not in forms.columns:
+        forms = forms.withColumn("head", family_head(F.col("normalized")))
+    by = ["head", DOC]
+    anchors = forms.where(F.col(DOC).isNotNull() & (F.col("significant") >= 2)).groupBy(*by, F.col("normalized").alias("key")).agg(F.count(F.lit(1)).alias("times"))
+    anchors = anchors.withColumn("n", F.length("key") - F.length(F.replace("key", F.lit(" "))) + 1)
+    before, lengths = Window.partitionBy(*by).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow), range(2, N.MOST_TOKENS)
+    last = [F.last(F.when(F.col("n") == i, F.col("key")), ignorenulls=True).over(before).alias(f"_{i}") for i in lengths]
+    found = anchors.select("*", *last, F.collect_list(F.when(F.col("n") >= N.MOST_TOKENS, F.col("key"))).over(before).alias("_more"))
+    shorter = [F.when(F.col(f"_{i}") == F.substring_index("key", " ", i), F.col(f"_{i}")) for i in lengths]
+    longer = F.get(F.filter("_more", lambda k: F.col("key").startswith(F.concat(k, F.lit(" ")))), F.lit(0))
+    return found.select(DOC, "key", F.coalesce(*shorter, longer, "key").alias("root"), "times")
 
 
 def person_aliases(forms: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Names, the resolution cascade, audits, and incremental runs."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from hypothesis import given
@@ -11,7 +13,7 @@ from papyra.functions import names as N
 from papyra.operators import audit as A
 from papyra.operators import lifecycle, rules
 from papyra.operators import resolution as R
-from papyra.plans import catalog, jobs
+from papyra.plans import catalog, jobs, registry_queries
 from papyra.streaming import incremental
 
 FULL = "Griselda Zubizarreta Vargas"
@@ -173,3 +175,19 @@ def test_phrases_of_whole_texts(spark, tmp_path):
     assert {r["generic"] for r in rows["generic_singular"] if r["doc_id"] == 3} == {"minero uno", "minero dos"}
     assert {r["tokens"] for r in rows["person_tokens"] if r["doc_id"] == 2 and r["tokens"]} == {"juan perez"}
     assert ("2", "juan perez vargas", "juan perez") in {(r["document_id"], r["key"], r["root"]) for r in rows["name_prefix_families"]}
+
+
+def test_families_as_told_one_by_one(spark, tmp_path):
+    """Words, not phrases, are looked at, and rows are dealt out once; families are those that plain Python finds."""
+    odd = ["juan", "Pérez", "Vargas", "de", "La", "y", "ÑANDÚ", "ﬁn", "İstanbul", "ŉa", "ǅemal", "ΟΔΟΣ", "Jean-Luc", "Ana", "Aͺb", "Aﷺ", "B", "ΐota", "mineros", "Gobierno", "2nd"]
+    r = random.Random(5)
+    d = corpus(spark, tmp_path, {i: " ".join(r.choices(odd, k=r.choice([0, 1, 1, 2, 3, 40]))) for i in range(-9, 300)} | {400: None})
+    times = Counter()
+    for doc, phrase in registry_queries._phrases(spark, d).select((F.col("doc_id") % 20).cast("string"), "phrase").collect():
+        for name in (phrase, f"{phrase} Vargas"):
+            if N.significant(N.person_tokens(name) or []) >= 2:
+                times[doc, N.normalize(name)] += 1
+    starts = lambda key: (" ".join(key.split(" ")[: i + 1]) for i in range(key.count(" ") + 1))
+    df = catalog.queries()["name_prefix_families"](spark, d)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, df.collect())) == sorted((doc, key, next(s for s in starts(key) if (doc, s) in times), n) for (doc, key), n in times.items())
