@@ -21,26 +21,30 @@ from papyra.llm.pieces import piece_digests
 from papyra.llm.quality import good_documents
 from papyra.llm.queries import piece_model
 from papyra.llm.suffixes import without_repeats
-from papyra.plans.durable import ensure_checkpoint_dir
+from papyra.plans.durable import ensure_checkpoint_dir, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
+    small_batches(spark)
     return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-copies."""
+    small_batches(spark)
     return without_copies(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that also stand elsewhere."""
+    small_batches(spark)
     return without_repeats(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix of sources takes, as documents."""
+    small_batches(spark)
     return mixed_documents(docs)
 
 

@@ -5,8 +5,9 @@ character (checked when a model is loaded), so no merge can cross such a place.
 A marked text thus falls into chunks, each a run of markers and the characters up
 to the next marker, that are segmented independently. Every distinct chunk of a
 batch is segmented once; ids, counts and decoded bytes are then joined back by
-position. The table lives as long as the Python worker and is emptied after a
-batch that leaves more than `TABLE_CHUNKS` chunks in it, so its memory is bounded.
+position. The table is emptied after texts that leave more than `TABLE_CHUNKS`
+chunks in it, and when a task ends: Spark deals tasks to all its idle workers in
+turn, and each would keep a table beside those that run.
 
 Defined cases: null text is empty and gives the end id alone; U+2581 in a text is
 a marker like a space, as in the library; repeated rows stay; other columns of
@@ -17,16 +18,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from papyra.llm.flat import release
-from papyra.plans.durable import one_worker_pool
+from papyra.plans.durable import one_worker_pool, small_batches
 
 MARK = "▁"
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 50_000
 #: Chunks longer than this are segmented but not kept in the table.
 KEPT_CHARS = 64
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -86,43 +87,59 @@ def encoder(model: str) -> ChunkEncoder:
 
 
 #: Characters of the texts that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 
-def piece_digests(docs: DataFrame, model: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, and digests of its ids and of its decoded text."""
-    one_worker_pool(docs.sparkSession)
+def _in_turn(e: ChunkEncoder, texts: list[str | None]) -> Iterator[tuple[bytes, int, bytes]]:
+    """What `encode` gives for each text, some texts at a time."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size < TOGETHER):
+            size += len(texts[to] or "")
+            to += 1
+        yield from e.encode(texts[at:to])
+        at = to
+
+
+def _with_encoder(model: str, f: Callable[[ChunkEncoder, pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for each batch; what the task learned goes when it ends."""
 
     def run(batches):
         e = encoder(model)
-        for b in batches:
-            ids, texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
-            rows = []
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < TOGETHER):
-                    size += len(texts[to] or "")
-                    to += 1
-                rows += [(n, hashlib.sha256(i).hexdigest(), hashlib.sha256(t).hexdigest()) for i, n, t in e.encode(texts[at:to])]
-                at = to
-            if rows:
-                n, i, t = zip(*rows)
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(i), pa.array(t)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for b in batches:
+                if b.num_rows:
+                    yield f(e, b)
+                release()
+        finally:
+            e.table.clear()
             release()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, RESULT)
+    return run
+
+
+def piece_digests(docs: DataFrame, model: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, and digests of its ids and of its decoded text."""
+    one_worker_pool(docs.sparkSession)
+    small_batches(docs.sparkSession)
+
+    def digests(e, b):
+        n, i, t = zip(*((n, hashlib.sha256(i).hexdigest(), hashlib.sha256(t).hexdigest()) for i, n, t in _in_turn(e, b.column(1).to_pylist())))
+        return pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(i), pa.array(t)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_with_encoder(model, digests), RESULT)
 
 
 def encode_texts(docs: DataFrame, model: str) -> DataFrame:
     """Per document: doc_id and its ids as array<int>, for training."""
+    small_batches(docs.sparkSession)
 
-    def run(batches):
-        e = encoder(model)
-        for b in batches:
-            ids = [[int(x) for x in i.split()] for i, _, _ in e.encode(b.column(1).to_pylist())]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    def encoded(e, b):
+        ids = [[int(x) for x in i.split()] for i, _, _ in _in_turn(e, b.column(1).to_pylist())]
+        return pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_with_encoder(model, encoded), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, model: str) -> DataFrame:

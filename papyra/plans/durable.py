@@ -1,4 +1,4 @@
-"""Session matters: lineage cut with files that all executors share, and one pool of Python workers."""
+"""Session matters: lineage cut with files that all executors share, one pool of Python workers, and small batches for them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that go to a Python worker at once, but for the last row; Spark's own 64 MB are held several times over, for each running task.
+BATCH_BYTES = 4 << 20
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the cluster's spark.checkpoint.dir; a folder of our own only where there is none and all run on one machine."""
@@ -30,3 +33,8 @@ def one_worker_pool(spark: SparkSession) -> None:
     idle workers.
     """
     spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python step has of its rows at once, in the JVM's buffers and in the worker; groups still arrive whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

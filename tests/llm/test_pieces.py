@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,6 +42,21 @@ def test_rows(docs, rows):
     assert got == sorted(((d is None, d, want(t)[1], h(want(t)[0]), h(want(t)[2])) for d, t, _ in rows), key=str)
 
 
+def test_idle_workers_keep_no_table(spark, docs):
+    """A table that outlived its task was held by each of the pooled workers, beside those at work."""
+
+    def held(batches):
+        from papyra.llm import pieces
+
+        for _ in batches:
+            yield pa.record_batch([pa.array([sum(len(e.table) for e in pieces._encoders.values())])], names=["n"])
+
+    piece_digests(docs.repartition(8), MODEL).collect()
+    encode_texts(docs.repartition(8), MODEL).collect()
+    # More tasks than workers: each of the pool gets some.
+    assert {r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_round_trip(docs):
     back = decode_ids(encode_texts(docs.where("doc_id in (4, 6, 11)"), MODEL), MODEL)
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in docs.where("doc_id in (4, 6, 11)").select("doc_id", "text").collect()}

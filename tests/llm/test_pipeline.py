@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -66,6 +67,17 @@ def test_nothing(spark, nothing, tmp_path):
     assert out.collect() == []
 
 
+def test_batches_are_small(spark, nothing, tmp_path):
+    """Each stage bounds the bytes that a Python worker gets at once, whatever the length of the texts."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    size = lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, nothing, str(tmp_path))
+        got = [r["n"] for r in spark.range(0, 1000, 1, 1).selectExpr("repeat('x', 20000) t").mapInArrow(size, "n long").collect()]
+        assert sum(got) > 20_000_000 and max(got) < 5_000_000
+
+
 def test_run(spark):
     r = corpus_pipeline.run(spark, SF)
     assert r.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and r.count() > 100
