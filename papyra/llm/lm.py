@@ -25,53 +25,107 @@ repeated rows count again; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.flat import U, mix, release, texts_of, word_names, words_of
-from papyra.llm.slices import ASKS, ASKS_ARROW, Sliced, groups, packed, told
+from papyra.llm.flat import BASE, BYTE_CODE, ODD, U, mix, release, texts_of, words_of
+from papyra.llm.slices import ASKS, ASKS_ARROW, Sliced, packed, told
 from papyra.plans.durable import checkpointed
 
 VOCABULARY, RARE, DIMS = 1792, 256, 32
 NOISE, STEPS, BATCH = 8, 600, 4096
 #: Noise shared by a batch of tokens in the pass over the corpus, and its first step.
 SHARED, RATE = 96, 0.05
+#: Rows of a batch whose noise is worked on at once, and bytes of text that are named at once: as much as a core's cache holds.
+ROWS, NAMED = 512, 1 << 16
 #: Parts of the table of class pairs, and how many summaries one task merges.
 PARTS, FAN = 16, 32
 CLASS_SHIFT = U(56)
 COUNT = (U(1) << CLASS_SHIFT) - U(1)
 END = mix(np.array([0x454E44], np.uint64))
-_lower = np.arange(256, dtype=np.uint8)
-_lower[65:91] += 32
+_lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of its inverse; kept, unless for a word longer than NAMED."""
+    made = _powers
+    if len(made[0]) < n:
+        made = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, NAMED) - 1, x))]) for x in (BASE, U(pow(int(BASE), -1, 1 << 64)))]
+        if n <= NAMED:
+            _powers[:] = made
+    return made
+
+
+def names_of(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """flat.word_names of words in order, from sums over all bytes before: a word's is divided by the power at its start."""
+    out, i = np.empty(len(s), np.uint64), 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + NAMED, "right")))
+        lo, hi = s[i], e[j - 1]
+        up, down = _powers_of(int(hi - lo))
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(BYTE_CODE[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        at = s[i:j] - lo
+        out[i:j] = (sums[e[i:j] - lo] - sums[at]) * down[at] + (e[i:j] - s[i:j]).astype(np.uint64) * ODD
+        i = j
+    return mix(out)
+
+
+def _groups(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the names, in no given order among equal ones, and starts of the groups of these."""
+    order = np.argsort(names)
+    s = names[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(len(s), 1), bool), s[1:] != s[:-1]]))
+
+
 class _Tokens:
     """Names, rare classes and documents of all tokens of a table, ends included."""
 
     def __init__(self, column):
         data, off = texts_of(column)
-        data = _lower[data]
-        s, e, first = words_of(data, off)
+        self.data = np.frombuffer(data.tobytes().translate(_lower), np.uint8)
+        self.s, self.e, first = words_of(self.data, off)
         n = np.diff(first) + 1
         self.first = np.concatenate([[0], np.cumsum(n)])
-        self.doc = np.repeat(np.arange(len(n)), n)
-        ends = self.first[1:] - 1
-        word = np.ones(self.first[-1], bool)
-        word[ends] = False
+        self.word = np.ones(self.first[-1], bool)
+        self.word[self.first[1:] - 1] = False
         self.names = np.full(self.first[-1], END[0])
-        self.names[word] = word_names(data, s, e)
-        self.rare = np.zeros(self.first[-1], np.int64)
+        self.names[self.word] = names_of(self.data, self.s, self.e)
+
+    @cached_property
+    def rare(self) -> np.ndarray:
+        rare, s, e, data = np.zeros(len(self.names), np.int64), self.s, self.e, self.data
         if len(s):
-            tail = [np.where(e - k >= s, data[np.maximum(e - k, 0)], 0).astype(np.uint64) for k in (1, 2, 3)]
-            self.rare[word] = (mix(tail[0] | tail[1] << U(8) | tail[2] << U(16)) % U(RARE)).astype(np.int64)
+            tail = data[e - 1].astype(np.uint64)
+            for k in (2, 3):
+                tail |= np.where(e - k >= s, data[np.maximum(e - k, 0)], 0).astype(np.uint64) << U(8 * k - 8)
+            rare[self.word] = (mix(tail) % U(RARE)).astype(np.int64)
+        return rare
+
+    @cached_property
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        return _groups(self.names)
+
+    def places(self, names: np.ndarray) -> np.ndarray:
+        """Where the sorted names have each token, or -1; each distinct token is looked up once."""
+        order, start = self.groups
+        own, out = self.names[order[start]], np.empty(len(self.names), np.int64)
+        k = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        out[order] = np.repeat(np.where(names[k] == own, k, -1), np.diff(np.append(start, len(order))))
+        return out
 
     def classes(self, vocabulary: np.ndarray) -> np.ndarray:
-        k = np.minimum(np.searchsorted(vocabulary, self.names), len(vocabulary) - 1)
-        return np.where(vocabulary[k] == self.names, k, len(vocabulary) + self.rare)
+        k = self.places(vocabulary)
+        return np.where(k >= 0, k, len(vocabulary) + self.rare)
 
     def before(self, classes: np.ndarray, end: int) -> np.ndarray:
         """What stands before each token: an end before a document's first; of these again, what stands two before."""
@@ -83,7 +137,9 @@ class _Tokens:
 
 def _ask(table, said):
     """Each distinct token of a slice."""
-    names = np.unique(_Tokens(table.column("text")).names)
+    t = _Tokens(table.column("text"))
+    order, start = t.groups
+    names = t.names[order[start]]
     yield 0, names, np.zeros_like(names)
 
 
@@ -95,7 +151,7 @@ def _local_counts(buckets: int):
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 t = _Tokens(b.column(0).slice(a, 512))
-                order, start, _ = groups(t.names)
+                order, start = t.groups
                 n = np.diff(np.append(start, len(order))).astype(np.uint64)
                 names, more = _added(np.concatenate([names, t.names[order[start]]]), np.concatenate([more, n | t.rare[order[start]].astype(np.uint64) << CLASS_SHIFT]))
         yield from _packed_rows(names, more, buckets)
@@ -105,7 +161,7 @@ def _local_counts(buckets: int):
 
 
 def _added(names, more):
-    order, start, _, total = _sums(names, more)
+    order, start, total = _sums(names, more)
     return names[order[start]], total | more[order[start]] & ~COUNT
 
 
@@ -124,14 +180,14 @@ def _global_counts(buckets: int):
 
 
 def _sums(names, more):
-    order, start, group = groups(names)
-    return order, start, group, np.add.reduceat(more[order] & COUNT, start)
+    order, start = _groups(names)
+    return order, start, np.add.reduceat(more[order] & COUNT, start)
 
 
 def _count(kind, names, who, more):
     """Says the count of each token that has one to the slices that ask; the counts come as from slice -1."""
-    order, _, group, total = _sums(names, more)
-    total = total[group]
+    order, start, total = _sums(names, more)
+    total = np.repeat(total, np.diff(np.append(start, len(order))))
     asks = (total > 0) & (who[order] >= 0)
     return order[asks], names[order][asks], total[asks]
 
@@ -239,21 +295,37 @@ class Pass:
     def batch(self, c2: np.ndarray, c1: np.ndarray, w: np.ndarray) -> None:
         p, n = self.p, len(w)
         other = np.minimum(np.searchsorted(self.heap, self.r.random(SHARED)), len(self.heap) - 1)
-        h, q, o = p["r1"][c1] + p["r2"][c2], p["q"][w], p["q"][other]
+        h, q, o = p["r1"][c1], p["q"][w], p["q"][other]
+        h += p["r2"][c2]
         d = 1 / (1 + np.exp(self.log_noise[w] - np.einsum("ij,ij->i", h, q) - p["b"][w])) - 1
-        e = 1 / (1 + np.exp(self.log_noise[other] - h @ o.T - p["b"][other]))
-        dh = d[:, None] * q + e @ o
-        k = len(p["b"])
-        at = np.concatenate([w, other])
-        self._step("q", _scatter(at, np.concatenate([d[:, None] * h, e.T @ h]), (k, DIMS)) / n)
-        self._step("b", _scatter(at, np.concatenate([d, e.sum(0)]), (k,)) / n)
-        self._step("r1", _scatter(c1, dh, (k, DIMS)) / n)
-        self._step("r2", _scatter(c2, dh, (k, DIMS)) / n)
+        dh = q * d[:, None]
+        # Of the noise, the logistic function of x is (1 + tanh(x / 2)) / 2, and the sums of the 1 are known.
+        half, bias = np.ascontiguousarray(o.T) / 2, (p["b"][other] - self.log_noise[other]) / 2
+        once, o_sum, o = np.ones(n, np.float32), o.sum(0) / 2, o / 2
+        e_h, e_1, held = np.zeros_like(o), np.zeros(SHARED, np.float32), np.empty((min(n, ROWS), SHARED), np.float32)
+        for i in range(0, n, ROWS):
+            x = h[i : i + ROWS]
+            e = np.matmul(x, half, out=held[: len(x)])
+            e += bias
+            np.tanh(e, out=e)
+            dh[i : i + ROWS] += e @ o
+            e_h += e.T @ x
+            e_1 += once[: len(x)] @ e
+        dh += o_sum
+        e_h, e_1 = (e_h + h.sum(0)) / 2, (e_1 + n) / 2
+        h *= d[:, None]
+        at, q, b = _summed(np.concatenate([w, other]), np.concatenate([h, e_h]), np.concatenate([d, e_1]))
+        self._step("q", at, q / n)
+        self._step("b", at, b / n)
+        for name, c in (("r1", c1), ("r2", c2)):
+            at, g = _summed(c, dh)
+            self._step(name, at, g / n)
         self.tokens += n
 
-    def _step(self, name: str, g: np.ndarray) -> None:
-        self.square[name] += g * g
-        self.p[name] -= RATE * g / np.sqrt(self.square[name])
+    def _step(self, name: str, at: np.ndarray, g: np.ndarray) -> None:
+        square = self.square[name][at] + g * g
+        self.square[name][at] = square
+        self.p[name][at] -= RATE * g / np.sqrt(square)
 
 
 _parameters = "part int, tokens long, p binary"
@@ -299,13 +371,19 @@ def _averaged(rows: pa.Table, start: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
+def _summed(at: np.ndarray, *g: np.ndarray) -> list[np.ndarray]:
+    """The distinct indices, below 65,536, and for each the sum of its rows of each g."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    s = at[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    # Two columns at a time, as the parts of a complex number.
+    return [s[first]] + [np.add.reduceat(x[order], first) if x.ndim == 1 else np.add.reduceat(x[order].view(np.complex64), first).view(np.float32) for x in g]
+
+
 def _scatter(at: np.ndarray, g: np.ndarray, shape: tuple) -> np.ndarray:
     """Sums of the rows of g by index."""
     out = np.zeros(shape, np.float32)
-    order = np.argsort(at, kind="stable")
-    s = at[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    out[s[first]] = np.add.reduceat(g[order], first)
+    at, out[at] = _summed(at, g)
     return out
 
 
@@ -343,8 +421,8 @@ def _score(model: ClassModel, base_log: float, train_tokens: int):
         names, total = told(said, 0)
         count = np.zeros(len(t.names))
         if len(names):
-            k = np.minimum(np.searchsorted(names, t.names), len(names) - 1)
-            count = np.where(names[k] == t.names, total[k], 0).astype(np.float64)
+            k = t.places(names)
+            count = np.where(k >= 0, total[k], 0).astype(np.float64)
         c = t.classes(model.vocabulary)
         c1 = t.before(c, model.end)
         score = model.class_scores(t.before(c1, model.end), c1, c)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 from papyra.llm import lm
-from papyra.llm.flat import U, mix, word_names
+from papyra.llm.flat import U, mix, word_names, words_of
 from papyra.llm.lm import END, ClassModel, Pass, first_fit, fit, held_out, lm_scores, token_counts
 
 
@@ -59,6 +60,52 @@ def test_a_pass_learns_the_second_context():
     assert np.allclose(model.class_scores(c2, c1, w), want, atol=1e-5)
 
 
+def plain_batch(own, other, c2, c1, w):
+    """The parameters after one batch, by the formulas, in double precision."""
+    p = {k: v.astype(float) for k, v in own.p.items()}
+    h, log_noise = p["r1"][c1] + p["r2"][c2], own.log_noise.astype(float)
+    d = 1 / (1 + np.exp(log_noise[w] - (h * p["q"][w]).sum(1) - p["b"][w])) - 1
+    e = 1 / (1 + np.exp(log_noise[other] - h @ p["q"][other].T - p["b"][other]))
+    dh = d[:, None] * p["q"][w] + e @ p["q"][other]
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    for k, at, x in (("r1", c1, dh), ("r2", c2, dh), ("q", w, d[:, None] * h), ("q", other, e.T @ h), ("b", w, d), ("b", other, e.sum(0))):
+        np.add.at(g[k], at, x / len(w))
+    return {k: p[k] - lm.RATE * g[k] / np.sqrt(own.square[k] + g[k] ** 2) for k in p}
+
+
+def test_a_batch_is_worked_on_in_small_parts():
+    """The same step as by the formulas, but neither all its noise nor all classes are held at once."""
+    r, k = np.random.default_rng(3), 2048
+    start = {c: r.standard_normal((k, lm.DIMS)).astype(np.float32) for c in ("r1", "r2", "q")} | {"b": r.standard_normal(k).astype(np.float32)}
+    noise = r.random(k) + 0.1
+    own = Pass(start, noise / noise.sum(), 7)
+    c2, c1, w = (k * r.random((3, lm.BATCH)) ** 3).astype(np.int64)
+    other = np.minimum(np.searchsorted(own.heap, np.random.default_rng(7).random(lm.SHARED)), k - 1)
+    want = plain_batch(own, other, c2, c1, w)
+    tracemalloc.start()
+    own.batch(c2, c1, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.allclose(own.p[c], want[c], atol=1e-3) for c in want) and own.tokens == lm.BATCH
+    assert peak < 10 * lm.BATCH * lm.SHARED
+
+
+def test_names_are_made_in_small_parts():
+    """The names of flat, also of words longer than a part; memory follows the parts, not the text."""
+    r = np.random.default_rng(1)
+    for n, white in ((0, 0.2), (1, 0.2), (50, 0.2), (300_000, 0.2), (300_000, 2e-5), (200_000, 0.0)):
+        data = np.where(r.random(n) < white, 32, r.integers(33, 256, n)).astype(np.uint8)
+        s, e, _ = words_of(data, np.array([0, n]))
+        assert (lm.names_of(data, s, e) == word_names(data, s, e)).all()
+    data = np.where(r.random(4 << 20) < 0.2, 32, 97).astype(np.uint8)
+    s, e, _ = words_of(data, np.array([0, len(data)]))
+    tracemalloc.start()
+    lm.names_of(data, s, e)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(data)
+
+
 def test_score_against_plain_recomputation(docs, rows, monkeypatch):
     """Classes from counts by hand, probabilities from the model's parameters, token by token."""
     monkeypatch.setattr(lm, "VOCABULARY", 40)
