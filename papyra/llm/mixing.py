@@ -139,7 +139,8 @@ def _slots(spark: SparkSession, sources: list[dict], seed: int) -> DataFrame:
     pieces = frame.withColumn("k", F.explode(F.expr(f"sequence(0L, n - 1, {PIECE}L)")))
     # Tasks follow the slots, not the shards: each numbers about half a million.
     ranks = pieces.repartition(max(4, int(counts.sum()) // (16 * PIECE)), "shard", "sid", "k").withColumn("i", F.explode(F.expr(f"sequence(k, least(k + {PIECE}, n) - 1)")))
-    number = F.pandas_udf(lambda r, n, s: pd.Series(permuted(r.to_numpy(), n.to_numpy(), s.to_numpy(), seed)), "long")
+    # Said to be nondeterministic, as a join's null check on the block would otherwise run it a second time, in a second worker for each task.
+    number = F.pandas_udf(lambda r, n, s: pd.Series(permuted(r.to_numpy(), n.to_numpy(), s.to_numpy(), seed)), "long").asNondeterministic()
     rank = F.col("first") + F.col("i")
     return ranks.select(
         "shard", number(F.col("off") + F.col("i"), "held", -1 - F.col("shard")).alias("slot"), "sid", number(rank, "blocks", "sid").alias("block"), F.expr("(first + i) div blocks").alias("turn")
@@ -214,10 +215,10 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     used = _cut(placed).select(*keys, "block", "lo", "hi").join(_uses(docs.sparkSession, sources, seed).hint("merge"), ["sid", "block"])
     array = lambda c: F.transform("pieces", lambda x: x[c])
     pieces = used.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("lo", "hi", "uses"))))).alias("pieces"))
-    # Equal rows share h, each with pieces of its own: one is kept and meets them all.
-    pieces = pieces.groupBy("h", F.col("doc_id").alias("id")).agg(F.collect_list(F.struct(array("lo").alias("lo"), array("hi").alias("hi"), array("uses").alias("uses"))).alias("all"))
+    # Equal rows share h, each with pieces of its own: one is kept and meets them all. Ids are compared after the join, so that the texts stay where h has dealt them.
+    pieces = pieces.groupBy("h").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), array("lo").alias("lo"), array("hi").alias("hi"), array("uses").alias("uses"))).alias("all"))
     kept = docs.select(row_hash(docs).alias("h"), whole(docs)).repartition("h").withColumn("id", F.col("row.doc_id")).dropDuplicates(["h", "id"])
-    both = kept.join(pieces.withColumnRenamed("id", "its"), "h").where(F.col("id").eqNullSafe(F.col("its"))).select("row", F.explode("all").alias("p"))
+    both = kept.join(pieces, "h").select("row", F.explode("all").alias("p")).where(F.col("row.doc_id").eqNullSafe(F.col("p.id")))
     text = F.pandas_udf(_taken_text, "string")
     both = both.select(with_field(docs, "text", text("row.text", "p.lo", "p.hi", "p.uses")))
     if "n_chars" in docs.columns:

@@ -79,6 +79,30 @@ def test_against_plain_python(make):
     assert results[0] != results[1]
 
 
+def test_blocks_are_numbered_once(docs):
+    """A null check of the join was pushed below the numbering, which then ran twice, each time in workers of its own."""
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert steps(mix_sources(docs)) == 1
+    assert steps(mixed_documents(docs)) == 2  # the other one writes the texts
+
+
+def test_texts_are_dealt_once(spark):
+    """Ids as a second key of the join dealt all texts out again."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above, lines = [], plan.split("\n")
+    k = next(i for i, x in enumerate(lines) if "FileScan" in x and "text" in x)
+    for x in reversed(lines[: k + 1]):
+        depth = len(x) - len(x.lstrip(" :+-*"))
+        if not above or depth < above[-1][0]:
+            above.append((depth, x))
+    assert sum("Exchange hashpartitioning" in x for _, x in above) == 1
+
+
 def test_names_may_clash(docs):
     other = docs
     for c in ("_h", "_p", "_d", "_all", "sid", "at", "size", "row", "its", "all", "part", "taken"):
